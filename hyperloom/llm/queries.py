@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, digest_tree, hilbert, mixing
+from . import chat, crf, digest_tree, hilbert, kmeans_tree, mixing, pieces, toxicity
 from .shared import table
 
 #: Said by both turns of the extra conversation: a text that looks like the template.
@@ -17,6 +17,24 @@ def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+def op3_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return crf.predict(docs, crf.fit(docs))
+
+
+def op5_aho_corasick_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: tokens, a hash of the ids, and digests of the text before and after the round trip."""
+    docs = table(spark, sf_dir, "documents").withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256))
+    back = pieces.decode(pieces.encode(docs, keep=("doc_id", "text_sha256")), keep=("doc_id", "text_sha256", "ids"))
+    decoded = F.sha2(F.col("text").cast("binary"), 256)
+    return back.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_xxh64"), "text_sha256", decoded.alias("decoded_sha256"), decoded.eqNullSafe(F.col("text_sha256")).alias("round_trip"))
+
+
 def op6_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -31,4 +49,8 @@ def op8_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.examples(rows.unionByName(extra)))
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op6_systematic_mix, op7_digest_tree, op8_prefix_targets)}
+def op10_kmeans_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans_tree.search(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
+QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op3_kneser_ney_toxicity, op4_crf_language, op5_aho_corasick_pieces, op6_systematic_mix, op7_digest_tree, op8_prefix_targets, op10_kmeans_tree_search)}

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +58,22 @@ def dropped(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package's modules to the executors, once per application, so that tasks can import them."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        _SHIPPED.add(sc.applicationId)
+        top = Path(__file__).parents[1]
+        file = Path(tempfile.mkdtemp(prefix="hyperloom-")) / "hyperloom_modules.zip"
+        with zipfile.ZipFile(file, "w") as out:
+            for p in sorted(top.rglob("*.py")):
+                out.write(p, p.relative_to(top.parent))
+        sc.addPyFile(str(file))
+
+
 def fold(doc_id: Column) -> Column:
     """The contract's fold of a row: crc32 of the id as text, modulo 4; fold 2 is held out."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(4))
