@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -247,6 +248,35 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, doc_id: str = "doc_id
     return train(rows["text"].tolist(), rows["lang"].tolist())
 
 
+def parts_of(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Stretches of a batch that hold about ``WORDS_AT_ONCE`` words at most, or one text."""
+    lo = size = 0
+    for i, t in enumerate(texts):
+        n = len(t) if t else 0
+        if i > lo and size + n > WORDS_AT_ONCE * 5:
+            yield lo, i
+            lo, size = i, 0
+        size += n
+    if lo < len(texts):
+        yield lo, len(texts)
+
+
+def accepted(docs: DataFrame, model: dict | None, least: float = 0.4, text: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text is in one of the learned languages: not ``und``, and a score of at least ``least``."""
+    ship(docs.sparkSession)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labeller = Labeller(model) if model else None
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            for lo, hi in parts_of(texts):
+                names, scores = labeller.documents(texts[lo:hi]) if labeller else (["und"] * (hi - lo), [0.0] * (hi - lo))
+                yield batch.slice(lo, hi - lo).filter(pa.array([g != "und" and s >= least for g, s in zip(names, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def predict(docs: DataFrame, model: dict | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score."""
     ship(docs.sparkSession)
@@ -256,12 +286,10 @@ def predict(docs: DataFrame, model: dict | None, doc_id: str = "doc_id", text: s
         labeller = Labeller(model) if model else None
         for frame in frames:
             texts = [t if isinstance(t, str) else None for t in frame["text"]]
-            sizes = np.cumsum([len(t) if t else 0 for t in texts]) // (WORDS_AT_ONCE * 5)
-            for part in np.unique(sizes):
-                rows = frame[sizes == part]
-                own = [t for t, k in zip(texts, sizes, strict=True) if k == part]
-                names, scores = labeller.documents(own) if labeller else (["und"] * len(own), [0.0] * len(own))
-                yield pd.DataFrame({"doc_id": rows["doc_id"], "held_out": rows["held_out"], "lang_pred": names, "score": scores})
+            for lo, hi in parts_of(texts):
+                names, scores = labeller.documents(texts[lo:hi]) if labeller else (["und"] * (hi - lo), [0.0] * (hi - lo))
+                part = frame.iloc[lo:hi]
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "held_out": part["held_out"].to_numpy(), "lang_pred": names, "score": scores})
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return rows.mapInPandas(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")

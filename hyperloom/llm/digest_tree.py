@@ -72,8 +72,8 @@ def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     The kept row is found by id and text together, so rows that share an id but not a
     text are told apart; of wholly repeated rows one stays.
     """
-    verdict = dedup(docs, doc_id, text).where("kept").select(F.col("doc_id").alias("own_id"), F.col("text_sha256").alias("own_sha"))
-    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("whole"), F.col(doc_id).alias("id"), F.sha2(normalised(F.col(text)).cast("binary"), 256).alias("sha"), F.coalesce(F.length(text), F.lit(0)).alias("n_points"))
-    kept = whole.join(verdict, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("sha") == F.col("own_sha")))
-    nth = F.row_number().over(Window.partitionBy("id", "sha").orderBy(F.col("n_points").desc()))
-    return kept.withColumn("nth", nth).where("nth = 1").select("whole.*")
+    id_key = lambda c: F.coalesce(c.cast("string"), F.lit("none")).alias("id_key")
+    verdict = dedup(docs, doc_id, text).where("kept").select(id_key(F.col("doc_id")), F.col("text_sha256").alias("sha"))
+    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("whole"), id_key(F.col(doc_id)), F.sha2(normalised(F.col(text)).cast("binary"), 256).alias("sha"), F.coalesce(F.length(text), F.lit(0)).alias("n_points"))
+    nth = F.row_number().over(Window.partitionBy("id_key", "sha").orderBy(F.col("n_points").desc()))
+    return whole.join(verdict, ["id_key", "sha"]).withColumn("nth", nth).where("nth = 1").select("whole.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, crf, digest_tree, hilbert, kmeans_tree, mixing, pieces, toxicity
+from . import chat, chosen_path, crf, digest_tree, hilbert, kmeans_tree, mixing, pieces, suffix_dedup, toxicity
 from .shared import table
 
 #: Said by both turns of the extra conversation: a text that looks like the template.
@@ -17,6 +17,10 @@ def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+def op2_deep_shallow_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op3_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -49,8 +53,12 @@ def op8_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.examples(rows.unionByName(extra)))
 
 
+def op9_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.join(table(spark, sf_dir, "documents"))
+
+
 def op10_kmeans_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeans_tree.search(table(spark, sf_dir, "embeddings"), k=10, every=100)
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op3_kneser_ney_toxicity, op4_crf_language, op5_aho_corasick_pieces, op6_systematic_mix, op7_digest_tree, op8_prefix_targets, op10_kmeans_tree_search)}
+QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op2_deep_shallow_suffixes, op3_kneser_ney_toxicity, op4_crf_language, op5_aho_corasick_pieces, op6_systematic_mix, op7_digest_tree, op8_prefix_targets, op9_chosen_path_join, op10_kmeans_tree_search)}

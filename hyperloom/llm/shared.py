@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,17 +50,6 @@ def landed(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame) -> None:
-    """Deletes the files of a landed table that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    top = shared_dir(spark)
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if top.removeprefix("file://").removeprefix("file:") in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 _SHIPPED: set[str] = set()
 
 
@@ -82,3 +74,59 @@ def fold(doc_id: Column) -> Column:
 def hex_slice(text: Column, digits: int) -> Column:
     """The first hex digits of the md5 of a string, as a number; SQL engines agree on it."""
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, digits), 16, 10).cast("long")
+
+
+def runs_of(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Splits a sorted stream into frames of whole groups, many groups in each: only a group at the end of a batch waits for the next."""
+    rest = None
+    for frame in frames:
+        if not len(frame):
+            continue
+        whole = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+        changed = np.zeros(len(whole) - 1, dtype=bool)
+        for k in keys:
+            v = whole[k].to_numpy()
+            changed |= v[1:] != v[:-1]
+        at = np.flatnonzero(changed)
+        if len(at):
+            yield whole.iloc[: at[-1] + 1].reset_index(drop=True)
+            whole = whole.iloc[at[-1] + 1 :].reset_index(drop=True)
+        rest = whole
+    if rest is not None:
+        yield rest
+
+
+def bounds_of(frame: pd.DataFrame, keys: list[str]) -> list[tuple[int, int]]:
+    """Where each group of a sorted frame begins and ends."""
+    changed = np.zeros(max(0, len(frame) - 1), dtype=bool)
+    for k in keys:
+        v = frame[k].to_numpy()
+        changed |= v[1:] != v[:-1]
+    at = [0, *(np.flatnonzero(changed) + 1).tolist(), len(frame)]
+    return list(zip(at[:-1], at[1:], strict=True))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, component (its smallest node) of the graph whose edges are the columns a and b; loops name lone nodes.
+
+    Alternating large and small stars; every step aggregates by partial minimum and
+    joins, so a node of very many edges is no hot spot.
+    """
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    pairs = cut(pairs)
+    last = None
+    while True:
+        both = pairs.union(pairs.select("v", "u"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        near = large.join(low, "u")
+        small = near.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(near.select("u", F.col("m").alias("v")))
+        pairs = cut(small.where("u <> v").distinct())
+        state = pairs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("s")).first()
+        if state == last:
+            break
+        last = state
+    low = pairs.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    return nodes.join(low, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
