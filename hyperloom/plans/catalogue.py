@@ -29,7 +29,7 @@ def _load() -> None:
         import_module(f"hyperloom.plans.{module}")
 
 
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("relational", "folded")
 
 
 def queries() -> dict[str, Plan]:
