@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import hex_slice
+from .shared import cut, hex_slice
 
 BITS = 5
 SALTS = 256
@@ -81,7 +81,7 @@ def shards(docs: DataFrame, n_shards: int = 8, law: str = "rows", doc_id: str =
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
     points = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(raw).cast("long") + 1).alias("size"), F.crc32(raw).alias("text_crc32"), *[v.alias(f"level_{c}") for v, c in zip(levels, names, strict=True)])
     points = points.withColumn("curve", curve_index([F.col(f"level_{c}") for c in names], bits))
-    points = points.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(SALTS)).cast("int"))
+    points = cut(points.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(SALTS)).cast("int")))
 
     upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     piles = points.groupBy("curve", "salt").agg(F.count("*").alias("n"), F.sum("size").alias("b"))

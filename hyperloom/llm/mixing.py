@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, hex_slice
+from .shared import WORD, cut, hex_slice
 
 SALTS = 64
 MOST = 3
@@ -68,13 +68,18 @@ def offset(source: Column, seed: str = SEED) -> Column:
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", most: int = MOST, seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source, source_size, target, copies, taken and the columns named in ``keep``."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), n_words(F.col(text)).alias("size"), F.col(source).cast("string").alias("source"), *[F.col(c).alias(f"kept_{c}") for c in keep])
+    # words are counted once a row: a projection would repeat the count wherever the size is used
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), *[F.col(c).alias(f"kept_{c}") for c in keep], F.explode(F.array(n_words(F.col(text)))).alias("size"))
+    light = cut(rows.select("doc_id", "source", "size"))
+    rows = rows if keep else light
     known = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))  # so that null joins with null
     salt = hex_slice(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 2) % SALTS
-    rows = rows.withColumn("known", known).withColumn("bucket", length_bucket(F.col("size"))).withColumn("salt", salt)
 
-    light = rows.drop(*[f"kept_{c}" for c in keep])
-    piles = light.groupBy("known", "bucket", "salt").agg(F.count("*").alias("n"), F.sum("size").alias("words"), F.first("source").alias("source"))
+    def placed_in(df: DataFrame) -> DataFrame:
+        return df.withColumn("known", known).withColumn("bucket", length_bucket(F.col("size"))).withColumn("salt", salt)
+
+    rows = placed_in(rows)
+    piles = placed_in(light).groupBy("known", "bucket", "salt").agg(F.count("*").alias("n"), F.sum("size").alias("words"), F.first("source").alias("source"))
     buckets = piles.groupBy("known", "bucket").agg(F.sum("n").alias("n"), F.sum("words").alias("words"), F.first("source").alias("source"))
     upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     piles = piles.select("known", "bucket", "salt", F.coalesce(F.sum("n").over(upto(Window.partitionBy("known", "bucket").orderBy("salt"))), F.lit(0)).alias("in_bucket"))
