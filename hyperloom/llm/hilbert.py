@@ -20,6 +20,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +44,11 @@ def level_of_number(value: Column, bits: int = BITS) -> Column:
     return F.least(power * 2 + half, F.lit((1 << bits) - 1)).cast("int")
 
 
+def named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` mentions it: an expression would be repeated at each mention."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def curve_index(levels: list[Column], bits: int = BITS) -> Column:
     """Index of a cell on the Hilbert curve of ``len(levels)`` dimensions.
 
@@ -62,14 +69,22 @@ def curve_index(levels: list[Column], bits: int = BITS) -> Column:
             lambda v, j: F.when(reflect & (j == 0), v.bitwiseXOR(low)).when(~reflect & (step["i"] != 0) & ((j == 0) | (j == step["i"])), v.bitwiseXOR(differ)).otherwise(v),
         )
 
-    turned = F.aggregate(steps, point, turn)
     # axes to transposed Gray code: each axis takes the exclusive or of all before it
-    gray = F.transform(turned, lambda _, j: F.aggregate(F.slice(turned, F.lit(1), j + 1), F.lit(0), lambda a, v: a.bitwiseXOR(v)))
+    def gray_of(turned: Column) -> Column:
+        return F.transform(turned, lambda _, j: F.aggregate(F.slice(turned, F.lit(1), j + 1), F.lit(0), lambda a, v: a.bitwiseXOR(v)))
+
     tops = F.array(*[F.lit(1 << b) for b in range(bits - 1, 0, -1)])
-    fix = F.aggregate(tops, F.lit(0), lambda t, q: F.when(F.element_at(gray, -1).bitwiseAND(q) != 0, t.bitwiseXOR(q - 1)).otherwise(t))
-    spots = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(i).alias("i")) for b in range(bits - 1, -1, -1) for i in range(n)])
-    bit = lambda s: F.get(gray, s["i"]).bitwiseXOR(fix).cast("long")
-    return F.aggregate(spots, F.lit(0).cast("long"), lambda a, s: a * 2 + F.pmod(F.floor(bit(s) / F.pow(F.lit(2.0), s["b"])), F.lit(2)).cast("long"))
+
+    def fixed(gray: Column) -> Column:
+        fix = F.aggregate(tops, F.lit(0), lambda t, q: F.when(F.element_at(gray, -1).bitwiseAND(q) != 0, t.bitwiseXOR(q - 1)).otherwise(t))
+        return named(fix, lambda f: F.transform(gray, lambda v: v.bitwiseXOR(f).cast("long")))
+
+    spots = F.array(*[F.struct(F.lit(float(1 << b)).alias("p"), F.lit(i).alias("i")) for b in range(bits - 1, -1, -1) for i in range(n)])
+
+    def woven(axes: Column) -> Column:
+        return F.aggregate(spots, F.lit(0).cast("long"), lambda a, s: a * 2 + F.pmod(F.floor(F.get(axes, s["i"]) / s["p"]), F.lit(2)).cast("long"))
+
+    return named(named(named(F.aggregate(steps, point, turn), gray_of), fixed), woven)
 
 
 def shards(docs: DataFrame, n_shards: int = 8, law: str = "rows", doc_id: str = "doc_id", text: str = "text", categories: tuple[str, ...] = ("source", "lang"), numbers: tuple[str, ...] = ("n_chars",), bits: int = BITS) -> DataFrame:
@@ -80,24 +95,25 @@ def shards(docs: DataFrame, n_shards: int = 8, law: str = "rows", doc_id: str =
     levels = [level_of_text(F.col(c), bits) for c in categories] + [level_of_number(F.col(c), bits) for c in numbers]
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
     points = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(raw).cast("long") + 1).alias("size"), F.crc32(raw).alias("text_crc32"), *[v.alias(f"level_{c}") for v, c in zip(levels, names, strict=True)])
-    points = points.withColumn("curve", curve_index([F.col(f"level_{c}") for c in names], bits))
     points = cut(points.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(SALTS)).cast("int")))
+    place = [f"level_{c}" for c in names]  # a cell of the curve, whose index is worked out once a cell
 
     upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    piles = points.groupBy("curve", "salt").agg(F.count("*").alias("n"), F.sum("size").alias("b"))
-    own = upto(Window.partitionBy("curve").orderBy("salt"))
-    piles = piles.select("curve", "salt", *[F.coalesce(F.sum(c).over(own), F.lit(0)).alias(f"{c}_in") for c in "nb"])
+    piles = points.groupBy(*place, "salt").agg(F.count("*").alias("n"), F.sum("size").alias("b"))
+    own = upto(Window.partitionBy(*place).orderBy("salt"))
+    piles = piles.select(*place, "salt", *[F.coalesce(F.sum(c).over(own), F.lit(0)).alias(f"{c}_in") for c in "nb"])
     every = Window.orderBy("curve")  # one row per cell of the curve, whatever the number of documents
-    cells = points.groupBy("curve").agg(F.count("*").alias("n"), F.sum("size").alias("b"))
+    cells = points.groupBy(*place).agg(F.count("*").alias("n"), F.sum("size").alias("b"))
+    cells = cells.withColumn("curve", curve_index([F.col(c) for c in place], bits))
     whole = every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    cells = cells.select("curve", *[F.coalesce(F.sum(c).over(upto(every)), F.lit(0)).alias(f"{c}_before") for c in "nb"], *[F.sum(c).over(whole).alias(f"{c}_all") for c in "nb"])
-    starts = piles.join(F.broadcast(cells), "curve")  # at most 2**(bits * dimensions) rows
+    cells = cells.select(*place, "curve", *[F.coalesce(F.sum(c).over(upto(every)), F.lit(0)).alias(f"{c}_before") for c in "nb"], *[F.sum(c).over(whole).alias(f"{c}_all") for c in "nb"])
+    starts = piles.join(F.broadcast(cells), place)  # at most 2**(bits * dimensions) rows
 
-    line = Window.partitionBy("curve", "salt").orderBy("doc_id", "text_crc32", "size")
+    line = Window.partitionBy(*place, "salt").orderBy("doc_id", "text_crc32", "size")
     placed = points.withColumn("n_line", F.row_number().over(line) - 1)
     if law == "bytes":
         placed = placed.withColumn("b_line", F.coalesce(F.sum("size").over(upto(line)), F.lit(0)))
-    placed = placed.join(starts, ["curve", "salt"])
+    placed = placed.join(starts, [*place, "salt"])
     rank = (F.col("n_before") + F.col("n_in") + F.col("n_line")).cast("long")
     k = F.lit(n_shards).cast("long")
     if law == "rows":
@@ -109,7 +125,7 @@ def shards(docs: DataFrame, n_shards: int = 8, law: str = "rows", doc_id: str =
         firsts = placed.groupBy("shard").agg(F.min("rank").alias("first_rank"))  # one row per shard
         placed = placed.join(F.broadcast(firsts), "shard")
         slot = F.col("rank") - F.col("first_rank")
-    return placed.select("doc_id", "size", "text_crc32", F.lit(law).alias("law"), "shard", slot.cast("long").alias("slot"), "curve", *[f"level_{c}" for c in names])
+    return placed.select("doc_id", "size", "text_crc32", F.lit(law).alias("law"), "shard", slot.cast("long").alias("slot"), "curve", *place)
 
 
 def zone_map(assigned: DataFrame) -> DataFrame:
