@@ -9,7 +9,7 @@ of equal scores the longest last piece wins.
 No piece of the model reaches across a blank that follows something else, and none
 but a single one holds a line break (both are read off the piece table, not assumed).
 The best path is therefore the concatenation of the best paths between those places,
-and each distinct stretch is encoded once per task.
+and each distinct stretch is encoded once while a worker remembers it.
 
 Blanks become U+2581 and one is put in front, as the model expects. A U+2581 that is in
 the text itself is spelled by bytes, so decoding gives back every text exactly.
@@ -22,7 +22,8 @@ table gives an empty result.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +36,13 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Stands for a U+2581 of the text; no decoded text can hold a lone surrogate.
 OWN_MARK = "\ud800"
-#: Stretches a task remembers before it starts afresh.
-REMEMBER = 300_000
+#: Stretches a worker remembers before it starts afresh: some 20 MB.
+REMEMBER = 100_000
+#: Longer stretches are encoded each time.
+REMEMBERED_LENGTH = 64
 ROWS_OUT = 256
+#: Tokens spelled at once.
+TOKENS_AT_ONCE = 1 << 18
 
 
 def piece_table(path: str = MODEL) -> dict:
@@ -55,6 +60,21 @@ def piece_table(path: str = MODEL) -> dict:
     return {"words": words, "raw": raw, "size": model.get_piece_size()}
 
 
+class Remembered(dict):
+    """Stretch -> its ids as int32 bytes; what is missing is worked out. Holds ``REMEMBER`` stretches at most."""
+
+    def __init__(self, work: Callable[[str], list[int]]):
+        self.work = work
+
+    def __missing__(self, stretch: str) -> bytes:
+        ids = array("i", self.work(stretch)).tobytes()
+        if len(stretch) <= REMEMBERED_LENGTH:
+            if len(self) >= REMEMBER:
+                self.clear()
+            self[stretch] = ids
+        return ids
+
+
 class Codec:
     def __init__(self, pieces: dict):
         import ahocorasick
@@ -69,12 +89,15 @@ class Codec:
         blank_inside = any(re.search(f"[^{MARK}]{MARK}", p) for p in long)
         break_inside = any("\n" in p for p in long)
         self.stretches = None if blank_inside else re.compile(" *[^ ]+| +" if break_inside else "\n| *[^ \n]+| +")
-        self.bytes_of = [b""] * pieces["size"]
+        spelling = [b""] * pieces["size"]
         for piece, i, _ in pieces["words"]:
-            self.bytes_of[i] = piece.replace(MARK, " ").encode()
+            spelling[i] = piece.replace(MARK, " ").encode()
         for b, i in self.raw.items():
-            self.bytes_of[i] = bytes([b])
-        self.seen: dict[str, list[int]] = {}
+            spelling[i] = bytes([b])
+        self.letters = np.frombuffer(b"".join(spelling), dtype=np.uint8)
+        self.sizes = np.array([len(x) for x in spelling])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.seen = Remembered(self.viterbi)
 
     def viterbi(self, stretch: str) -> list[int]:
         """Ids of the best path through one stretch."""
@@ -111,24 +134,36 @@ class Codec:
     def utf8(c: str) -> bytes:
         return (MARK if c == OWN_MARK else c).encode()
 
-    def encode(self, text: str) -> list[int]:
+    def packed(self, text: str) -> bytes:
+        """Ids of a text, as int32 bytes."""
         if not text:
-            return []
+            return b""
         text = " " + text
-        seen, out = self.seen, []
-        for stretch in self.stretches.findall(text) if self.stretches else (text,):
-            ids = seen.get(stretch)
-            if ids is None:
-                if len(seen) >= REMEMBER:
-                    seen.clear()
-                ids = self.viterbi(stretch)
-                if len(stretch) <= 64:
-                    seen[stretch] = ids
-            out += ids
-        return out
+        return b"".join(map(self.seen.__getitem__, self.stretches.findall(text) if self.stretches else (text,)))
+
+    def encode(self, text: str) -> list[int]:
+        return array("i", self.packed(text)).tolist()
+
+    def spelled_out(self, ids: np.ndarray) -> bytes:
+        """The bytes of a run of ids, gathered from the piece table."""
+        out = []
+        for at in range(0, len(ids), TOKENS_AT_ONCE):
+            some = ids[at : at + TOKENS_AT_ONCE]
+            sizes = self.sizes[some]
+            index = np.repeat(self.starts[some] - (np.cumsum(sizes) - sizes), sizes)
+            index += np.arange(len(index))
+            out.append(self.letters[index].tobytes())
+        return b"".join(out)
+
+    def decode_all(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
+        """The texts whose ids lie between each two neighbours of ``bounds``."""
+        raw = self.spelled_out(ids)
+        at = np.concatenate([[0], np.cumsum(self.sizes[ids])])[bounds].tolist()
+        return [raw[a:b].decode("utf-8", "replace")[1:] for a, b in zip(at[:-1], at[1:], strict=True)]
 
     def decode(self, ids: Iterable[int]) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")[1:]
+        ids = np.array(list(ids), dtype=np.int64)
+        return self.decode_all(ids, np.array([0, len(ids)]))[0]
 
 
 _CODECS: dict[int, Codec] = {}
@@ -155,8 +190,11 @@ def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "te
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS_OUT):
                 batch = whole.slice(at, ROWS_OUT)
-                ids = [None if t is None else np.array(codec.encode(t), dtype=np.int32) for t in batch.column(n).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(ids, pa.list_(pa.int32()))], [*keep, "ids"])
+                packs = [None if t is None else codec.packed(t) for t in batch.column(n).to_pylist()]
+                ends = np.cumsum([0, *[len(x) // 4 if x else 0 for x in packs]], dtype=np.int32)
+                flat = pa.array(np.frombuffer(b"".join(filter(None, packs)), dtype=np.int32))
+                ids = pa.ListArray.from_arrays(pa.array(ends), flat, mask=pa.array([x is None for x in packs]))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], ids], [*keep, "ids"])
 
     return docs.select(*[docs[c] for c in keep], docs[text].alias("_text")).mapInArrow(run, schema)
 
@@ -174,10 +212,9 @@ def decode(encoded: DataFrame, keep: tuple[str, ...] = ("doc_id",), ids: str = "
             for at in range(0, whole.num_rows, ROWS_OUT):
                 batch = whole.slice(at, ROWS_OUT)
                 lists = batch.column(n)
-                flat = lists.flatten().to_pylist()
-                bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(int).tolist()
-                ok = lists.is_valid().to_pylist()
-                texts = [codec.decode(flat[a:b]) if good else None for a, b, good in zip(bounds[:-1], bounds[1:], ok, strict=True)]
+                bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(int)
+                texts = codec.decode_all(lists.flatten().to_numpy(zero_copy_only=False), bounds)
+                texts = [t if good else None for t, good in zip(texts, lists.is_valid().to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(texts, pa.string())], [*keep, "text"])
 
     return encoded.select(*[encoded[c] for c in keep], encoded[ids].alias("_ids")).mapInArrow(run, schema)

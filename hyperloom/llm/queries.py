@@ -34,9 +34,11 @@ def op4_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_aho_corasick_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: tokens, a hash of the ids, and digests of the text before and after the round trip."""
     docs = table(spark, sf_dir, "documents").withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256))
-    back = pieces.decode(pieces.encode(docs, keep=("doc_id", "text_sha256")), keep=("doc_id", "text_sha256", "ids"))
+    ids = pieces.encode(docs, keep=("doc_id", "text_sha256"))
+    ids = ids.select("*", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_xxh64"))
+    back = pieces.decode(ids, keep=("doc_id", "n_tokens", "ids_xxh64", "text_sha256"))
     decoded = F.sha2(F.col("text").cast("binary"), 256)
-    return back.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_xxh64"), "text_sha256", decoded.alias("decoded_sha256"), decoded.eqNullSafe(F.col("text_sha256")).alias("round_trip"))
+    return back.select("doc_id", "n_tokens", "ids_xxh64", "text_sha256", decoded.alias("decoded_sha256"), decoded.eqNullSafe(F.col("text_sha256")).alias("round_trip"))
 
 
 def op6_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
