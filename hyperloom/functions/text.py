@@ -43,3 +43,9 @@ def entropy(counts: Column) -> Column:
     total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x.cast("double"))
     h = -F.aggregate(counts, F.lit(0.0), lambda a, x: a + F.when(x > 0, x / total * F.log2(x / total)).otherwise(F.lit(0.0)))
     return F.when(F.size(counts) == 0, F.lit(0.0)).when(F.size(counts) == 1, F.lit(0.5)).otherwise(h / F.log2(F.size(counts).cast("double")))
+
+
+def segments(text: Column) -> Column:
+    """Words as runs of letters and digits; each ideograph is a word of its own. Null has none."""
+    spaced = F.regexp_replace(F.coalesce(text, F.lit("")), r"(\p{IsHan})", " $1 ")
+    return F.regexp_extract_all(spaced, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def propagate(incidence: DataFrame, features: DataFrame, layers: int = 1, alpha: float = 0.5, leak: float = 0.0) -> DataFrame:
     """node, dim, val: means over an edge's members, then over a node's edges, with a residual; driven by the start if alpha < 1.
@@ -34,12 +36,11 @@ def hops(incidence: DataFrame, source: int, most: int = 3) -> DataFrame:
 
 def components(incidence: DataFrame, rounds: int = 50) -> DataFrame:
     """node, component: the smallest node reachable. Labels pass through edges until none changes."""
-    sc = incidence.sparkSession.sparkContext
     label = incidence.select(F.col("node"), F.col("node").alias("component")).distinct()
     for _ in range(rounds):
         low = incidence.join(label, "node").groupBy("edge").agg(F.min("component").alias("low"))
         new = incidence.join(low, "edge").groupBy("node").agg(F.min("low").alias("component"))
-        new = new.checkpoint() if sc.getCheckpointDir() else new.persist()
+        new = cut(new)
         changed = new.join(label.withColumnRenamed("component", "was"), "node").where("component <> was")
         label, done = new, changed.isEmpty()
         if done:
