@@ -65,12 +65,12 @@ def trigger_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.spans_of_trigger(read(spark, sf_dir, "documents"), "doc_id", "text", F.lit("tion"))
 
 
-@plan("hyperconv", duck("""SELECT i.node, round(0.5E0 * p.p_retailprice + 0.5E0 * (0.5E0 * (p.p_retailprice + avg(e.m))), 2) AS val FROM incidence i
+@plan("hyperconv", duck("""SELECT i.node, round(0.5E0 * p.p_retailprice + 0.5E0 * (0.5E0 * (p.p_retailprice + avg(e.m))), 10) AS val FROM incidence i
     JOIN (SELECT edge, avg(p_retailprice) AS m FROM incidence JOIN part ON p_partkey = node GROUP BY edge) e ON e.edge = i.edge JOIN part p ON p.p_partkey = i.node GROUP BY i.node, p.p_retailprice"""))
 def hyperconv(spark: SparkSession, sf_dir: str) -> DataFrame:
     inc = run(spark, sf_dir, "SELECT edge, node FROM incidence")
     features = inc.select("node").distinct().join(read(spark, sf_dir, "part"), F.col("node") == F.col("p_partkey")).select("node", F.lit(0).alias("dim"), F.col("p_retailprice").alias("val"))
-    return graph.propagate(inc, features, layers=1).select("node", F.round("val", 2).alias("val"))
+    return graph.propagate(inc, features, layers=1).select("node", F.round("val", 10).alias("val"))
 
 
 @plan("hyperconv_2layer")
