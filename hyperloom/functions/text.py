@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,3 +51,30 @@ def segments(text: Column) -> Column:
     """Words as runs of letters and digits; each ideograph is a word of its own. Null has none."""
     spaced = F.regexp_replace(F.coalesce(text, F.lit("")), r"(\p{IsHan})", " $1 ")
     return F.regexp_extract_all(spaced, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def equative(text: Column, before: list[str], after: list[str], idle: list[str], most: int = 3) -> Column:
+    """Marker and vehicle of a comparison, as ``marker vehicle`` or ``vehicle marker``; null if there is none.
+
+    Markers that follow their vehicle are tried first, in order, then those that precede it, longest
+    first; of each the first occurrence counts. The vehicle is up to two words directly before, or up to
+    ``most`` words after, where idle words are skipped at the front and end it later. Markers, idle words: lower case.
+    """
+    low = F.lower(text)
+    word = r"\p{L}+"
+    none = "(?:" + "|".join(idle) + r")(?:[^\p{L}]+|$)" if idle else "(?:(?!))"
+    tries = []
+    for m in before:
+        lead = F.substring_index(low, m, 1)
+        v = F.regexp_extract(lead, rf"({word}(?: {word})?) ?$", 1)
+        tries.append(F.when(low.contains(m) & (v != ""), F.concat(v, F.lit(" "), F.lit(m))))
+    for m in sorted(after, key=len, reverse=True):
+        rest = F.substring(low, F.instr(low, F.lit(m)) + F.lit(len(m)), F.length(low))
+        v = F.regexp_extract(rest, rf"^[^\p{{L}}]*(?:{none})*({word}(?: (?!{none}){word}){{0,{most - 1}}})", 1)
+        tries.append(F.when(low.contains(m) & (v != ""), F.concat(F.lit(m), F.lit(" "), v)))
+    return F.coalesce(*tries)
