@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -57,6 +61,42 @@ def through_cache(rows: DataFrame, key: str, cache_path: str, call: Callable[[Se
     return rows.join(spark.read.schema(schema).parquet(cache_path), key, "left")
 
 
+FATAL = (401, 402, 403)
+
+
+def http_call(url: str, wrap: Callable[[Sequence[str]], object], unwrap: Callable[[object], Sequence[object]], headers: dict[str, str] | None = None, tries: int = 3, pause: float = 1.0, timeout: float = 60.0) -> Callable[[Sequence[str]], Sequence[object]]:
+    """A ``call`` that posts ``wrap(keys)`` as JSON and gives ``unwrap`` of the JSON reply.
+
+    Refused credentials and exhausted quotas are fatal at once; other failures are tried again
+    after a growing pause, then raised.
+    """
+
+    def call(part: Sequence[str]) -> Sequence[object]:
+        asked = urllib.request.Request(url, json.dumps(wrap(part)).encode(), {"Content-Type": "application/json"} | (headers or {}))
+        for left in reversed(range(tries)):
+            try:
+                with urllib.request.urlopen(asked, timeout=timeout) as reply:
+                    return unwrap(json.load(reply))
+            except urllib.error.HTTPError as e:
+                if e.code in FATAL:
+                    raise FatalReply(f"the service answered {e.code}") from e
+                if not left:
+                    raise
+            except OSError:
+                if not left:
+                    raise
+            time.sleep(pause * (tries - left))
+        raise ValueError("tries must be positive")
+
+    return call
+
+
+def http_embedder(url: str, model: str, key: str = "", **options) -> Callable[[Sequence[str]], Sequence[object]]:
+    """A ``call`` to an embedding service: posts model and input, takes the vectors in the order of their index."""
+    vectors = lambda told: [d["embedding"] for d in sorted(told["data"], key=lambda d: d["index"])]
+    return http_call(url, lambda part: {"model": model, "input": list(part)}, vectors, {"Authorization": f"Bearer {key}"} if key else None, **options)
+
+
 def encode_sequences(rows: DataFrame, group: str, order: str, vector: str, dim: int, seed: int = 1) -> DataFrame:
     """group, state: the last state of an untrained gated recurrent unit that reads a group's vectors in order.
 

@@ -4,6 +4,8 @@ import gzip
 import hashlib
 import json
 import sqlite3
+import threading
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import duckdb
 import numpy as np
@@ -79,6 +81,50 @@ def test_transactions(spark, tmp_path):
     assert [len(p) for p in posted] == [1, 1, 10, 10, 5] and posted[0] == ["CREATE CONSTRAINT a"] and posted[2][0] == "MERGE (n {id: 0})"
 
 
+@pytest.fixture
+def server():
+    """A service on this machine: vectors of text lengths, and graph transactions; it fails once and refuses one key."""
+    seen = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def log_message(self, *_):
+            pass
+
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append((self.path, self.headers.get("Authorization", ""), body))
+            code = 401 if "wrong" in self.headers.get("Authorization", "") else 503 if self.path == "/embed" and len(seen) == 1 else 200
+            told = {"data": [{"index": i, "embedding": [float(len(t))]} for i, t in reversed(list(enumerate(body.get("input", []))))]}
+            if self.path.startswith("/db/"):
+                bad = [{"code": "Syntax", "message": x["statement"]} for x in body["statements"] if "BAD" in x["statement"]]
+                told = {"errors": bad, "results": [{"data": []} for _ in body["statements"]]}
+            self.send_response(code)
+            self.end_headers()
+            self.wfile.write(json.dumps(told).encode())
+
+    running = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=running.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{running.server_port}", seen
+    running.shutdown()
+
+
+def test_services_over_http(spark, server):
+    url, seen = server
+    keys = spark.createDataFrame([("a",), ("bcd",), ("",)], "k string").coalesce(1)
+    out = hooks.called(keys, "k", hooks.http_embedder(f"{url}/embed", "m", pause=0.01), "array<double>", batch=2)
+    assert {r.k: r.answer for r in out.collect()} == {"a": [1.0], "bcd": [3.0], "": [0.0]}
+    assert [len(b["input"]) for _, _, b in seen] == [2, 2, 1]  # the first failed and was asked again
+    before = len(seen)
+    with pytest.raises(hooks.FatalReply, match="401"):
+        hooks.http_embedder(f"{url}/embed", "m", "wrong")(["a"])
+    assert len(seen) == before + 1
+    statements = spark.range(0, 5, 1, 1).select(F.format_string("MERGE (n {id: %d});", "id").alias("statement"))
+    done = writers.transactions(statements, writers.http_poster(url, "me", "word"), ["CREATE INDEX a;"], size=3)
+    assert [r.n_statements for r in done.collect()] == [3, 2] and {p for p, _, _ in seen[before + 1 :]} == {"/db/neo4j/tx/commit"}
+    with pytest.raises(RuntimeError, match="Syntax"):
+        writers.http_poster(url, "me", "word")(["BAD"])
+
+
 def test_release(spark, tmp_path):
     queries = spark.createDataFrame([(1, "q"), (2, "r")], "query_id int, query_text string")
     gold = writers.gold_queries(queries, spark.createDataFrame([(1, 8), (1, 3), (1, 8)], "query_id int, chunk_id int"))
