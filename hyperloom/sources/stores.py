@@ -101,6 +101,7 @@ def decoded(artifacts: DataFrame, largest: int = LARGEST) -> DataFrame:
         "a weight is not finite or negative": F.exists(weights, lambda v: v.isNull() | F.isnan(v) | (v < 0) | (v == F.lit(float("inf")))),
     }
     problem = F.coalesce(*[F.when(bad, F.lit(what)) for what, bad in checks.items()])
+    # two projections on purpose: with both columns in one, Spark 4.1.2 gave null for checks that mention the parsed graph within a lambda
     rows = rows.select("artifact_id", "graph", problem.alias("problem"))
     return rows.select("artifact_id", F.when(F.col("problem").isNull(), F.col("graph")).alias("graph"), "problem")
 
