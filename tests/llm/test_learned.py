@@ -87,6 +87,14 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.score(frame(spark), toxicity.fit(docs, labels.limit(0))).collect()} == {0.0}
 
 
+def test_toxicity_keeps_the_class_shares_when_a_class_is_cut(spark):
+    docs = spark.range(8000).selectExpr("id AS doc_id", "'the same words in each' AS text")
+    labels = spark.range(8000).selectExpr("id AS doc_id", "int(id % 10 = 0) AS toxic")
+    model = toxicity.fit(docs, labels, per_class=400)
+    (share,) = {r.score for r in toxicity.score(docs, model).collect()}
+    assert 0.07 < share < 0.14  # one in ten is toxic, though the sample has as many of either
+
+
 def plain_viterbi(codec, s):
     """Every piece at every place, whole text at once."""
     words = {p: (i, v) for p, (i, _, v) in ((p, codec.automaton.get(p)) for p in codec.automaton.keys())}  # noqa: SIM118
