@@ -86,7 +86,7 @@ SMALL = "SELECT DISTINCT l_orderkey AS edge, l_partkey AS node FROM lineitem WHE
 @plan("components", f"""WITH RECURSIVE inc AS ({SMALL}), pair AS (SELECT DISTINCT a.node AS u, b.node AS v FROM inc a JOIN inc b ON a.edge = b.edge),
   reach AS (SELECT u, v FROM pair UNION SELECT r.u, p.v FROM reach r JOIN pair p ON r.v = p.u) SELECT u AS node, min(v) AS component FROM reach GROUP BY u""")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.components(run(spark, sf_dir, SMALL))
+    return graph.components(run(spark, sf_dir, "SELECT edge, node FROM incidence"))
 
 
 @plan("hops", duck("""SELECT node, min(hop) AS hop FROM (SELECT min(node) AS node, 0 AS hop FROM incidence
