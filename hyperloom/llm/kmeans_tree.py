@@ -16,8 +16,8 @@ the best ``k`` of its block, and the answers are merged per query.
 Distances are computed from the original components in double precision.
 
 Vectors that are null, zero, of another length than most, or that hold null or
-non-finite components take no part, neither do rows without an id. Rows that repeat an
-id count once. Ties go to the smaller id. If fewer than ``k`` candidates exist, all are
+non-finite components take no part, neither do rows without an id. Of rows that repeat an
+id, the one with the smallest vector, component by component, stands for all. Ties go to the smaller id. If fewer than ``k`` candidates exist, all are
 returned; an empty table gives an empty result; columns that are not named are ignored.
 """
 
@@ -181,7 +181,7 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, vec_id: str = "vec
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = sizes[0].d
-    rows = rows.where(F.size("v") == dim)
+    rows = rows.where(F.size("v") == dim).groupBy("vec_id").agg(F.min("v").alias("v"))  # before the tree, so leaves, blocks and counts hold distinct ids
     picked = rows.select("v", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(sample).toPandas()
     known = np.array(picked["v"].tolist())
     tree = Tree(known).ready()

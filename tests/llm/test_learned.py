@@ -161,3 +161,15 @@ def test_blocks_of_a_hot_leaf(spark, monkeypatch):
     df = spark.createDataFrame([(i, [1.0, 1.0]) for i in range(60)], "vec_id long, embedding array<double>")
     out = kmeans_tree.search(df, k=3, every=20).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.vec_id, r.score) for r in out] == [(0, 1, 0.0), (0, 2, 0.0), (0, 3, 0.0), (20, 0, 0.0), (20, 1, 0.0), (20, 2, 0.0), (40, 0, 0.0), (40, 1, 0.0), (40, 2, 0.0)]
+
+
+def test_nearest_of_repeated_ids(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    points = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(60)]
+    rows = points + [(i, [x + 0.001 * j for x in v]) for i, v in points[1:3] for j in range(1, 31)] + points
+    monkeypatch.setattr(kmeans_tree, "LEAF", 200)  # one leaf
+    out = kmeans_tree.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5, every=20)
+    own = {i: np.array(min(v for j, v in rows if j == i)) for i, _ in points}
+    want = {(q, i) for q in (0, 20, 40) for i in sorted((i for i in own if i != q), key=lambda i: ((own[i] - own[q]) ** 2).sum())[:5]}
+    assert sorted((r.query_id, r["rank"]) for r in out.collect()) == [(q, n) for q in (0, 20, 40) for n in range(1, 6)]
+    assert {(r.query_id, r.vec_id) for r in out.collect()} == want
