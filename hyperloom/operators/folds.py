@@ -49,7 +49,11 @@ def pack(ranked: DataFrame, query: str, kind: str, rank: str, size: str, budget:
 
 
 def chunk_text(docs: DataFrame, doc_id: str, text: str, limit: int = 500, carry: int = 50, most: int = 40) -> DataFrame:
-    """Lines packed greedily into chunks of ``limit`` characters, each beginning with the last ``carry`` of the one before."""
+    """Lines packed greedily into chunks of ``limit`` characters, each beginning with the last ``carry`` of the one before.
+
+    A chunk of over 1.6 ``limit`` then gives pieces of ``limit``, each ``limit - carry`` after the one before, while more than that is left. Only then the first ``most`` count.
+    """
+    stride, long = limit - carry, limit * 8 // 5
     acc = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
     def step(a: Column, line: Column) -> Column:
@@ -59,7 +63,13 @@ def chunk_text(docs: DataFrame, doc_id: str, text: str, limit: int = 500, carry:
         return F.when(full, F.struct(F.concat(a["done"], F.array(a["open"])).alias("done"), F.concat(tail, line).alias("open"))).otherwise(F.struct(a["done"].alias("done"), joined.alias("open")))
 
     folded = F.aggregate(F.filter(F.split(F.col(text), "\n"), lambda x: F.length(x) > 0), acc, step, lambda a: F.when(F.length(a["open"]) > 0, F.concat(a["done"], F.array(a["open"]))).otherwise(a["done"]))
-    return docs.select(F.col(doc_id), F.posexplode(F.slice(folded, 1, most)).alias("chunk", "chunk_text"))
+
+    def pieces(c: Column) -> Column:
+        cuts = F.greatest(F.ceil((F.length(c) - long) / stride), F.lit(0)).cast("int")
+        at = lambda i: i * stride + 1
+        return F.transform(F.sequence(F.lit(0), cuts), lambda i: F.when(i < cuts, F.substring(c, at(i), F.lit(limit))).otherwise(F.substring(c, at(i), F.length(c))))
+
+    return docs.select(F.col(doc_id), F.posexplode(F.slice(F.flatten(F.transform(folded, pieces)), 1, most)).alias("chunk", "chunk_text"))
 
 
 #: The falling thresholds: 0.5 less 0.1 again and again, in double precision.

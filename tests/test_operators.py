@@ -56,6 +56,20 @@ def test_chunks_hold_all_text(spark):
     assert all(len(r.chunk_text) <= 650 for r in out) and sum(r.chunk_text.count("x") for r in out) >= 2700
 
 
+def test_long_chunks_are_cut(spark):
+    def cut(c):
+        out = []
+        while len(c) > 800:
+            out.append(c[:500])
+            c = c[450:]
+        return out + [c]
+
+    texts = ["".join(chr(97 + i * i % 26) for i in range(n)) for n in (799, 800, 801, 1250, 1251, 3000, 40_000)]
+    out = folds.chunk_text(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "id", "t").orderBy("id", "chunk").collect()
+    for i, t in enumerate(texts):
+        assert [(r.chunk, r.chunk_text) for r in out if r.id == i] == list(enumerate(cut(t)[:40]))
+
+
 def test_plans_agree_with_sql(spark, tiny):
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
