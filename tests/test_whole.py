@@ -1,5 +1,6 @@
 """Plans read whole tables: brute force over the smallest ones, independent of the SQL twins."""
 
+import math
 from collections import defaultdict
 
 import pytest
@@ -78,3 +79,11 @@ def test_graph_means_take_every_edge(spark, tiny, members):
         got = {e: mean(x[n] for n in parts) for e, parts in members.items()}
         x = {n: 0.2 * price[n] + 0.8 * 0.5 * (x[n] + 0.9 * mean(got[e] for e in es)) for n, es in edges.items()}
     assert dict(rows(spark, tiny, "hyperconv_2layer", "node", "val")) == pytest.approx(x, abs=1e-3)
+
+
+def test_anchors_hear_every_document(spark):
+    sf = "/root/testdata/sf0.01"
+    want = defaultdict(float)
+    for doc, frame, confidence in rows(spark, sf, "l1_edges", "doc_id", "frame_id", "confidence"):
+        want[frame] -= math.log(1 - 0.5 * confidence)
+    assert dict(rows(spark, sf, "anchors", "frame_id", "strength")) == pytest.approx(dict(want), abs=1e-5)
