@@ -124,6 +124,7 @@ TEXTS: dict[str, str] = {
 WHOLE: dict[str, str] = {
     # over many documents 1 - exp(sum) is 1 for every frame, so the sum itself is compared
     "anchors": "SELECT frame_id, round(-sum(ln(1 - 0.5E0 * confidence)), 6) AS strength FROM edge GROUP BY frame_id",
+    "literal_path": "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)",
 }
 
 for _name, _text in TEXTS.items():

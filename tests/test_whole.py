@@ -87,3 +87,11 @@ def test_anchors_hear_every_document(spark):
     for doc, frame, confidence in rows(spark, sf, "l1_edges", "doc_id", "frame_id", "confidence"):
         want[frame] -= math.log(1 - 0.5 * confidence)
     assert dict(rows(spark, sf, "anchors", "frame_id", "strength")) == pytest.approx(dict(want), abs=1e-5)
+
+
+def test_literal_path_asks_the_whole_passage(spark, tmp_path):
+    passage = "the opening of a passage that runs well past its first sixty characters, and its end"
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = [(1, f"before {passage} after"), (2, passage[:70]), (3, "other")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert rows(spark, tmp_path, "literal_path", "item_id", "doc_id") == [(1, 1)]
