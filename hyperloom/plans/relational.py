@@ -120,11 +120,14 @@ TEXTS: dict[str, str] = {
     "morphology": "SELECT user_id, round(sum(share * share), 6) AS hhi, round(-sum(share * ln(share)) / ln(2E0), 6) AS entropy FROM (SELECT user_id, n / sum(n) OVER (PARTITION BY user_id) AS share FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type) x) y GROUP BY user_id",
 }
 
-#: What Spark runs in place of a text whose twin takes only a part of the table.
+#: What Spark runs in place of a text whose twin takes only a part of the table, or of the replicates.
 WHOLE: dict[str, str] = {
     # over many documents 1 - exp(sum) is 1 for every frame, so the sum itself is compared
     "anchors": "SELECT frame_id, round(-sum(ln(1 - 0.5E0 * confidence)), 6) AS strength FROM edge GROUP BY frame_id",
     "literal_path": "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)",
+    # the reference's numbers of replicates
+    "bootstrap_ci": TEXTS["bootstrap_ci"].replace("@SERIES(50)@", "@SERIES(2000)@"),
+    "permutation_p": TEXTS["permutation_p"].replace("@SERIES(20)@", "@SERIES(1000)@"),
 }
 
 for _name, _text in TEXTS.items():

@@ -95,3 +95,13 @@ def test_literal_path_asks_the_whole_passage(spark, tmp_path):
     docs = [(1, f"before {passage} after"), (2, passage[:70]), (3, "other")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert rows(spark, tmp_path, "literal_path", "item_id", "doc_id") == [(1, 1)]
+
+
+def test_resampling_runs_all_replicates(spark):
+    ((p,),) = rows(spark, "/root/testdata/sf0.01", "permutation_p", "p")
+    assert p * 1001 == pytest.approx(round(p * 1001), abs=1e-3)  # of 1,000 permutations and the rows as they are
+    ((lo, hi),) = rows(spark, "/root/testdata/sf0.01", "bootstrap_ci", "lo", "hi")
+    quality = [r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()]
+    share = mean(quality)
+    half = 1.96 * math.sqrt(share * (1 - share) / len(quality))
+    assert lo == pytest.approx(share - half, abs=0.006) and hi == pytest.approx(share + half, abs=0.006)
