@@ -97,7 +97,7 @@ def test_toxicity_keeps_the_class_shares_when_a_class_is_cut(spark):
 
 def plain_viterbi(codec, s):
     """Every piece at every place, whole text at once."""
-    words = {p: (i, v) for p, (i, _, v) in ((p, codec.automaton.get(p)) for p in codec.automaton.keys())}  # noqa: SIM118
+    words = {p: (i, v) for p, i, v in pieces.piece_table()["words"]}
     s = s.replace(pieces.MARK, pieces.OWN_MARK).replace(" ", pieces.MARK)
     best, how = [0.0] + [-math.inf] * len(s), [None] * (len(s) + 1)
     for e in range(1, len(s) + 1):
@@ -115,13 +115,22 @@ def plain_viterbi(codec, s):
     return out
 
 
-def test_pieces(spark, tiny):
+def test_pieces(spark, tiny, monkeypatch):
     codec = pieces.Codec(pieces.piece_table())
-    texts = [r.text for r in spark.read.parquet(f"{tiny}/documents.parquet").limit(40).collect()] + ["a  b\n\n c ", " ", "\n", "▁ x▁▁ y", "\U0001f600é\x00", "    indented\t\tcode"]
+    texts = [r.text for r in spark.read.parquet(f"{tiny}/documents.parquet").limit(60).collect()] + ["a  b\n\n c ", " ", "\n", "▁ x▁▁ y", "\U0001f600é\x00", "    indented\t\tcode"]
+    texts += ["漢字かな交じり文 " * 30, "x" * 300 + " " * 90 + "y", "\U0001f600" * 70, "Привет мир, это проверка", "aé\u0301ß \ud7ff end", "q" * 64 + " " + "q" * 65]
     for t in texts:
-        if len(t) < 3000:
-            assert codec.encode(t) == plain_viterbi(codec, " " + t)
+        assert codec.encode(t) == plain_viterbi(codec, " " + t)
         assert codec.decode(codec.encode(t)) == t
+    want = [codec.encode(t) for t in texts]
+    for name, value in (("CELLS", 70), ("REMEMBER", 3), ("WINDOW", 40), ("SIDE_BY_SIDE", 5)):
+        with monkeypatch.context() as m:  # neither memory nor windows change an id
+            m.setattr(pieces, name, value)
+            other = pieces.Codec(pieces.piece_table())
+            assert [np.frombuffer(x, dtype=np.int32).tolist() for x in other.packed_all(texts)] == want
+
+
+def test_pieces_take_odd_rows(spark):
     rows = frame(spark)
     out = pieces.decode(pieces.encode(rows), keep=("doc_id", "ids")).collect()
     assert Counter((r.doc_id, r.text) for r in out) == Counter((i, t) for i, t, *_ in ROWS)
