@@ -8,36 +8,41 @@ languages in the light of the whole text, so a text that switches languages is
 followed word by word. A document's language is the one with the most words, by sum
 of those distributions, and its score is their mean.
 
-Training: a bounded sample of labelled documents, ``per_language`` of each language
-(the smallest hashes of the id), spliced into sequences of one to three stretches, so
+Training: a bounded sample of labelled documents, at most ``per_language`` of each language
+(the smallest hashes of id and text), spliced into sequences of one to three stretches, so
 that switches are seen and the transitions are learned; gradient steps on the
 conditional likelihood. The model is as large as the sample allows and does not grow
 with the corpus; prediction reads every whole text.
 
-Texts that are null or without letters are ``und`` with score 0, as is everything if
-nothing could be learned. Null ids and repeated rows each give a row; an empty table
-gives an empty result; columns that are not named are ignored.
+Texts that are null or without letters (numerals such as fractions, circled and Roman
+numbers are none) are ``und`` with score 0, as is everything if nothing could be learned.
+Null ids and repeated rows each give a row; an empty table gives an empty result; columns
+that are not named are ignored. Of languages with equal sums the first by name is taken.
+A text is read whole, however long, in chains of ``CHAIN`` words at most: a longer text is
+several chains, whose words count alike, so no task works through it word by word.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import fold, ship
+from .shared import fold, letter_words, ship, windows
 
-LETTERS = re.compile(r"[^\W\d_]+")
 PER_LANGUAGE = 300
 LEXICON = 400
 WORDS_AT_ONCE = 1_000_000
 REMEMBER = 400_000
+CHAIN = 2_000
+LANGUAGES = 64
+#: Stretches of ``STRETCH`` words a sampled text gives at most, evenly spaced: with ``LANGUAGES`` and ``per_language`` the bound of what goes to the driver.
+STRETCHES, STRETCH = 200, 25
 
 
 def features(word: str) -> list[str]:
@@ -100,10 +105,10 @@ def train(texts: list[str], langs: list[str], seed: int = 7, sequences: int = 40
     if not names:
         return None
     rng = np.random.default_rng(seed)
-    words = [[LETTERS.findall(t.lower()), names.index(g)] for t, g in zip(texts, langs, strict=True)]
+    words = [[letter_words(t.lower()), names.index(g)] for t, g in zip(texts, langs, strict=True)]
     pools: list[list[list[str]]] = [[] for _ in names]
     for ws, g in words:
-        pools[g] += [ws[i : i + 25] for i in range(0, len(ws), 25) if ws[i : i + 25]]
+        pools[g] += [ws[i : i + STRETCH] for i in range(0, len(ws), STRETCH)]
     tongues = [g for g in range(len(names)) if pools[g]]
     if not tongues:
         return None
@@ -199,22 +204,31 @@ class Labeller:
             self.reset()
         index, flat, lengths, fresh = self.index, [], [], []
         for t in texts:
-            ws = LETTERS.findall(t.lower()) if t else []
-            lengths.append(len(ws))
-            for w in ws:
-                i = index.get(w)
-                if i is None:
-                    i = index[w] = len(index)
-                    fresh.append(w)
-                flat.append(i)
+            before = len(flat)
+            for part in windows(t.lower()) if t else ():
+                for w in letter_words(part):
+                    i = index.get(w)
+                    if i is None:
+                        i = index[w] = len(index)
+                        fresh.append(w)
+                    flat.append(i)
+            lengths.append(len(flat) - before)
         if fresh:
             self.add(fresh)
         return np.array(flat, dtype=np.int64), np.array(lengths, dtype=np.int64)
 
+    def posteriors(self, flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Each word's distribution, texts cut into chains of ``CHAIN`` words."""
+        n = -(-lengths // CHAIN)
+        size = np.full(int(n.sum()), CHAIN, dtype=np.int64)
+        some = lengths > 0
+        size[np.cumsum(n)[some] - 1] = (lengths - (n - 1) * CHAIN)[some]
+        return Chain(size).forward_backward(self.table[flat], self.step)[0]
+
     def label(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """Per text, in order: the words' distributions."""
         flat, lengths = self.words(texts)
-        post, _ = Chain(lengths).forward_backward(self.table[flat], self.step)
+        post = self.posteriors(flat, lengths)
         bounds = np.cumsum(lengths) - lengths
         yield from (post[b : b + m] for b, m in zip(bounds, lengths, strict=True))
 
@@ -222,7 +236,7 @@ class Labeller:
         flat, lengths = self.words(texts)
         sums = np.zeros((len(texts), self.s))
         if len(flat):
-            post, _ = Chain(lengths).forward_backward(self.table[flat], self.step)
+            post = self.posteriors(flat, lengths)
             some = np.flatnonzero(lengths)
             sums[some] = np.add.reduceat(post, (np.cumsum(lengths) - lengths)[some])
         best = sums.argmax(1)
@@ -231,16 +245,33 @@ class Labeller:
         return [names[b] if m else "und" for b, m in zip(best, lengths, strict=True)], np.clip(mean, 0.0, 1.0).tolist()
 
 
+def evenly(text: str) -> str:
+    """The words of at most ``STRETCHES`` stretches of a text."""
+    ws = [w for part in windows(text.lower()) for w in letter_words(part)]
+    if len(ws) > STRETCHES * STRETCH:
+        starts = np.linspace(0, len(ws) - STRETCH, STRETCHES).astype(int).tolist()
+        ws = [w for a in starts for w in ws[a : a + STRETCH]]
+    return " ".join(ws)
+
+
 def sample(docs: DataFrame, per_language: int, doc_id: str, text: str, lang: str) -> pd.DataFrame:
-    """At most about ``per_language`` labelled documents of each language outside the held-out fold, by hash of the id."""
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (fold(F.col(doc_id)) != 2)).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.pmod(F.xxhash64(F.col(doc_id).cast("string")), F.lit(1 << 20)).alias("h"))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
-    if not counts:
-        return pd.DataFrame({"text": [], "lang": []})
-    share = F.lit(0.0)
-    for g, n in sorted(counts.items()):
-        share = F.when(F.col("lang") == g, F.lit(min(1.0, per_language / n))).otherwise(share)
-    return rows.where(F.col("h") < share * (1 << 20)).limit(2 * per_language * len(counts)).select("text", "lang").toPandas().sort_values(["lang", "text"])
+    """At most ``per_language`` labelled documents of each of the ``LANGUAGES`` most frequent languages outside the held-out fold, by hash of the id.
+
+    A column with more values than that is dirty: the rare ones have too few documents to learn from.
+    A text of more than ``STRETCHES`` stretches of words gives that many, evenly spaced over all of it.
+    """
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (fold(F.col(doc_id)) != 2)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id).cast("string"), F.col(text)).alias("h"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    shares = F.broadcast(counts.withColumn("share", F.least(F.lit(1.0), 2.0 * per_language / F.col("n"))))  # at most LANGUAGES rows
+    likely = rows.join(shares, "lang").where(F.col("h") <= (F.col("share") * 2 - 1) * float(2**63))  # about twice as many as are taken
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    picked = likely.withColumn("nth", nth).where(F.col("nth") <= per_language)
+
+    def thinned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(text=[evenly(t) for t in frame["text"]])
+
+    return picked.select("text", "lang").mapInPandas(thinned, "text string, lang string").toPandas().sort_values(["lang", "text"])  # at most LANGUAGES * per_language rows
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> dict | None:

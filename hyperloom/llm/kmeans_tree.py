@@ -13,17 +13,22 @@ meet by leaf. A leaf with more than ``BLOCK`` vectors or queries is dealt over a
 blocks, so a leaf with a third of all rows is searched by many tasks. Each task keeps
 the best ``k`` of its block, and the answers are merged per query.
 
-Distances are computed from the original components in double precision.
-
-Vectors that are null, zero, of another length than most, or that hold null or
-non-finite components take no part, neither do rows without an id. Of rows that repeat an
-id, the one with the smallest vector, component by component, stands for all. Ties go to the smaller id. If fewer than ``k`` candidates exist, all are
-returned; an empty table gives an empty result; columns that are not named are ignored.
+Distances are computed from the original components in double precision. What is so
+large or so small that its square leaves the range of numbers is first scaled by a power of
+two, which changes no digit.
+
+Vectors that are null, zero, of another length than most (there is no distance to those),
+or that hold null or non-finite components take no part, neither do rows without an id,
+which an answer could not name. Of rows that repeat an id, the one with the smallest
+vector, component by component, stands for all. Ties go to the smaller id. If fewer than
+``k`` candidates exist, all are returned; an empty table gives an empty result; columns that
+are not named are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import ship
+from .shared import landed, ship
 
 SAMPLE = 16_384
 BRANCH = 8
@@ -121,6 +126,11 @@ class Tree:
         return out
 
 
+def scale_of(most: float) -> float:
+    """A power of two to divide by: 1 unless squares of components up to ``most`` leave the range of doubles."""
+    return 1.0 if 1e-100 < most < 1e100 else 2.0 ** math.frexp(most)[1] if most else 1.0
+
+
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return ((centres**2).sum(1)[None, :] - 2 * (x @ centres.T)).argmin(1)
 
@@ -151,22 +161,25 @@ def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
 
 
 def best(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> pa.Table:
-    """The k nearest of each query within a block: exact distances of all that could be among them."""
+    """The k nearest of each query within a block of distinct ids: exact distances of all that could be among them."""
     near: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    unit = scale_of(max(np.abs(x).max(initial=0.0), np.abs(q).max(initial=0.0)))
+    q, x = q / unit, x / unit
     norms = (x**2).sum(1)
+    slack = 4 * (x.shape[1] + 8) * np.finfo(float).eps  # twice the relative error of a sum of as many products
     for lo in range(0, len(q), 256):
         part = q[lo : lo + 256]
-        rough = (part**2).sum(1)[:, None] + norms[None, :] - 2 * (part @ x.T)
-        for row, own, me in zip(rough, part, q_ids[lo : lo + 256], strict=True):
-            row[ids == me] = np.inf
-            if len(row) > k:
-                edge = np.partition(row, k)[k]
-                may = np.flatnonzero((row <= edge + 1e-9 * (1 + abs(edge))) & np.isfinite(row))
-            else:
-                may = np.flatnonzero(np.isfinite(row))
-            d = np.sqrt(((x[may] - own) ** 2).sum(1))
-            at = np.lexsort((ids[may], d))
-            at = at[np.sort(np.unique(ids[may][at], return_index=True)[1])][:k]
+        own_norms = (part**2).sum(1)
+        rough = own_norms[:, None] + norms[None, :] - 2 * (part @ x.T)
+        for row, own, norm, me in zip(rough, part, own_norms, q_ids[lo : lo + 256], strict=True):
+            other = ids != me
+            may = np.flatnonzero(other)
+            if len(may) > k:  # what may be among the k nearest once the cancellation of large norms is allowed for
+                wrong = slack * (norm + norms)
+                edge = np.partition((row + wrong)[other], k - 1)[k - 1]
+                may = np.flatnonzero(other & (row - wrong <= edge))
+            d = np.sqrt(((x[may] - own) ** 2).sum(1)) * unit
+            at = np.lexsort((ids[may], d))[:k]
             near.append((np.full(len(at), me), ids[may][at], d[at]))
     cols = [np.concatenate(c) for c in zip(*near, strict=True)] if near else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
     return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
@@ -177,30 +190,32 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, vec_id: str = "vec
     spark = vectors.sparkSession
     ship(vectors.sparkSession)
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
-    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
+    most = F.max(F.array_max(F.transform("v", F.abs)))
+    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), most.alias("most")).orderBy(F.desc("n"), "d").limit(1).collect()
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = sizes[0].d
+    dim, unit = sizes[0].d, scale_of(sizes[0].most)
     rows = rows.where(F.size("v") == dim).groupBy("vec_id").agg(F.min("v").alias("v"))  # before the tree, so leaves, blocks and counts hold distinct ids
+    rows = landed(rows, "vectors")
     picked = rows.select("v", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(sample).toPandas()
-    known = np.array(picked["v"].tolist())
+    known = np.array(picked["v"].tolist()) / unit
     tree = Tree(known).ready()
     least, _ = calibrated(tree, known, k)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                leaf = tree.assign(matrix(batch.column(1), dim))
+                leaf = tree.assign(matrix(batch.column(1), dim) / unit)
                 yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), *batch.columns], ["leaf", "vec_id", "v"])
 
-    placed = rows.select("vec_id", "v").mapInArrow(assign, "leaf int, vec_id long, v array<double>")
+    placed = landed(rows.select("vec_id", "v").mapInArrow(assign, "leaf int, vec_id long, v array<double>"), "placed")
     held = np.zeros(tree.leaves, dtype=np.int64)
     for r in placed.groupBy("leaf").agg(F.count("*").alias("n")).collect():  # one row per leaf
         held[r.leaf] = r.n
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = [(leaf, i, v) for i, v in zip(frame["vec_id"], frame["v"], strict=True) for leaf in tree.visits(np.asarray(v), least, held, k + 1)]
+            out = [(leaf, i, v) for i, v in zip(frame["vec_id"], frame["v"], strict=True) for leaf in tree.visits(np.asarray(v) / unit, least, held, k + 1)]
             yield pd.DataFrame(out, columns=["leaf", "query_id", "q"])
 
     asked = rows.where(F.col("vec_id") % every == 0).mapInPandas(walk, "leaf int, query_id long, q array<double>")

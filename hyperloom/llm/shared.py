@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import unicodedata
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -19,6 +21,31 @@ BLANKS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Numerals that are word characters but no digits, such as fractions, circled and Roman ones; Unicode has them in its first two planes only.
+NUMERALS = frozenset(c for c in map(chr, range(0x20000)) if unicodedata.category(c) in ("No", "Nl"))
+_WORD_LETTERS = re.compile(r"[^\W\d_]+")
+_NO_NUMERALS = dict.fromkeys(map(ord, NUMERALS), " ")
+
+
+def letter_words(text: str) -> list[str]:
+    """Runs of letters (Unicode categories L*), in order."""
+    if not text.isascii() and not NUMERALS.isdisjoint(text):
+        text = text.translate(_NO_NUMERALS)
+    return _WORD_LETTERS.findall(text)
+
+
+def windows(text: str, size: int = 1_000_000) -> Iterator[str]:
+    """A text in pieces of about ``size`` characters that end before a blank, so that no word is cut; without blanks, of ``size``."""
+    lo = 0
+    while len(text) - lo > size:
+        cut_at = text.rfind(" ", lo + 1, lo + size)
+        cut_at = lo + size if cut_at < 0 else cut_at
+        yield text[lo:cut_at]
+        lo = cut_at
+    if lo < len(text) or not lo:
+        yield text[lo:]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from hyperloom.llm import crf, kmeans_tree, pieces, toxicity
+from hyperloom.llm.shared import letter_words, windows
 
 from .edge import ROWS, frame
 
@@ -55,12 +56,41 @@ def test_language(spark, tiny):
 def test_code_switched_words(spark, tiny):
     docs = spark.read.parquet(f"{tiny}/documents.parquet").toPandas()
     model = crf.train(docs["text"].tolist(), docs["lang"].tolist())
-    parts = {g: crf.LETTERS.findall(docs[docs["lang"] == g]["text"].iloc[0])[:30] for g in ("en", "de")}
+    parts = {g: letter_words(docs[docs["lang"] == g]["text"].iloc[0])[:30] for g in ("en", "de")}
     (post,) = crf.Labeller(model).label([" ".join(parts["en"] + parts["de"])])
     names = np.array(model["langs"])[post.argmax(1)]
     assert (names[:30] == "en").mean() > 0.9 and (names[30:] == "de").mean() > 0.9
 
 
+def test_letters():
+    assert letter_words("½ ² ① 12 Ⅳ 〇") == [] and letter_words("a½b ab_dé 漢字 x2y") == ["a", "b", "ab", "dé", "漢字", "x", "y"]
+    text = "ab cd  " * 30
+    assert "".join(windows(text, 10)) == text and all(w.strip() for w in windows(text, 10))
+    assert list(windows("", 10)) == [""] and "".join(windows("x" * 35, 10)) == "x" * 35
+
+
+def test_numerals_are_no_language(spark, tiny):
+    model = crf.fit(spark.read.parquet(f"{tiny}/documents.parquet"))
+    out = crf.predict(spark.createDataFrame([(1, "½ ² ① 12"), (2, "Ⅳ_7"), (3, "the ½")], "doc_id long, text string"), model).collect()
+    assert {r.doc_id: r.lang_pred == "und" for r in out} == {1: True, 2: True, 3: False}
+    assert [r.score for r in out if r.doc_id < 3] == [0.0, 0.0]
+
+
+def test_long_texts_are_several_chains(spark, tiny, monkeypatch):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").toPandas()
+    labeller = crf.Labeller(crf.train(docs["text"].tolist(), docs["lang"].tolist()))
+    whole = labeller.documents(docs["text"].tolist())
+    monkeypatch.setattr(crf, "CHAIN", 7)
+    cut = labeller.documents(docs["text"].tolist())
+    assert sum(a == b for a, b in zip(whole[0], cut[0], strict=True)) >= 0.98 * len(docs) and max(abs(a - b) for a, b in zip(whole[1], cut[1], strict=True)) < 0.3
+    assert len(crf.evenly("word " * 40_000).split()) == crf.STRETCHES * crf.STRETCH
+
+
+def test_dirty_language_columns(spark):
+    rows = [(i, "the same words " * 3, f"x{i}") for i in range(300)] + [(1000 + i, "el perro come pan", "es") for i in range(40)] + [(2000 + i, "the dog eats bread", "en") for i in range(40)]
+    assert {"en", "es"} <= set(crf.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))["langs"])
+
+
 def test_kneser_ney_by_hand():
     m = toxicity.Models([("ab", 2, 0), ("ac", 0, 1)], order=2)
     # continuation counts: a, b, c and $ follow 1, 1, 1 and 2 different letters
@@ -165,6 +195,30 @@ def test_nearest_odd_rows(spark):
     assert kmeans_tree.search(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [1.0, 1e200, 1e-200, 1e307])
+def test_nearest_of_large_and_small_components(spark, size):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=3) / 8 * size]) for i in range(30)]
+    out = kmeans_tree.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=10, every=10).collect()
+    for q in (0, 10, 20):
+        x = np.array([v for _, v in rows]) / size
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        want = [i for i in np.argsort(d) if i != q][:10]
+        mine = sorted((r["rank"], r.vec_id, r.score) for r in out if r.query_id == q)
+        assert [m[1] for m in mine] == want and np.allclose([m[2] / size for m in mine], d[want], rtol=1e-12)
+
+
+def test_nearest_of_norms_far_above_the_distances():
+    rng = np.random.default_rng(9)
+    x = 1e6 + rng.normal(size=(400, 16)) * 1e-6
+    ids = rng.permutation(400)
+    out = kmeans_tree.best(x[:5], ids[:5], x, ids, 10).to_pydict()
+    for q in range(5):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        want = [ids[i] for i in np.lexsort((ids, d)) if i != q][:10]
+        assert [v for i, v in zip(out["query_id"], out["vec_id"], strict=True) if i == ids[q]] == want
+
+
 def test_blocks_of_a_hot_leaf(spark, monkeypatch):
     monkeypatch.setattr(kmeans_tree, "BLOCK", 7)
     df = spark.createDataFrame([(i, [1.0, 1.0]) for i in range(60)], "vec_id long, embedding array<double>")

@@ -67,12 +67,52 @@ def test_odd_rows(spark):
     assert Counter(r.doc_id for r in out) == Counter(r[0] for r in ROWS)
     got = {r.doc_id: r.class_id for r in out}
     assert got[1] == got[2] == 1 and got[7] == 6 and got[3] == 3 and got[4] == 4 and got[None] is None
+    assert {r.doc_id: r.n_links for r in out}[6] == 0 and Counter(r.copy_of for r in out)[6] == 2
     left = chosen_path.survivors(frame(spark))
     assert left.columns == frame(spark).columns
     assert Counter(r.doc_id for r in left.collect()) == Counter({1: 1, 3: 1, 4: 1, 5: 1, 6: 1, 8: 1, 9: 1, 10: 1, None: 2})
     assert chosen_path.join(frame(spark, [])).count() == 0
 
 
+def test_rows_are_told_apart_by_text_where_ids_repeat(spark):
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    near = one.replace("a59", "c")
+    rows = [(1, one), (1, two), (1, two), (2, near), (3, two), (None, one), (None, two + " x"), (None, "quite another text of its own"), (None, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = Counter((r.doc_id, r.class_id, r.copy_of, r.n_links, r.n_linked_docs) for r in chosen_path.join(df).collect())
+    assert out == Counter([(1, 1, 1, 1, 1), (1, 1, 1, 1, 1), (1, 1, 1, 1, 1), (2, 1, 2, 1, 2), (3, 1, 1, 1, 1), (None, 1, 1, 1, 1), (None, 1, None, 1, 3), (None, None, None, 0, 0), (None, None, None, 0, 0), (None, None, None, 0, 0)])
+    left = Counter(tuple(r) for r in chosen_path.survivors(df).collect())
+    assert left == Counter([(1, one), (1, two), (None, "quite another text of its own"), (None, None), (None, None)])
+    words = spark.createDataFrame([("x", one), ("b", near), (None, "z")], "doc_id string, text string")
+    assert {r.doc_id: r.class_id for r in chosen_path.join(words).collect()} == {"x": "b", "b": "b", None: None}
+    assert sorted(r.doc_id or "" for r in chosen_path.survivors(words).collect()) == ["", "b"]
+
+
+def test_runs_repeat_until_the_recall(spark, monkeypatch):
+    assert chosen_path.recall_of(0, 0, 4) == 1 and chosen_path.recall_of(10, 40, 4) == 1
+    p, n = 0.6, 4
+    assert abs(chosen_path.recall_of(100_000, round(100_000 * p * n / (1 - (1 - p) ** n)), n) - (1 - (1 - p) ** n)) < 1e-4
+    rng = np.random.default_rng(7)
+    rows = []
+    for g in range(60):  # pairs a little above the threshold
+        w = [f"g{g}w{i}" for i in range(100)]
+        rows.append((2 * g, " ".join(w)))
+        for i in rng.choice(95, 2, replace=False):
+            w[i] = f"other{g}_{i}"
+        rows.append((2 * g + 1, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(chosen_path, "RUNS", 2)
+    monkeypatch.setattr(chosen_path, "SMALL", 1)
+    kept = df.select("doc_id", chosen_path.digest_of(df["text"]), "text")
+    every = shared.landed(kept.mapInArrow(chosen_path.sketches, "doc_id long, h binary, n int, cls binary, sig binary"), "s")
+    from pyspark.sql import functions as F
+
+    reps = shared.landed(every.select("cls", "n", F.struct(F.lit(False).alias("none"), "doc_id", "h").alias("low"), F.lit(1).cast("long").alias("copies"), "sig", F.monotonically_increasing_id().alias("rep")), "r")
+    found, reached, runs = chosen_path.found_until(reps, kept.select(chosen_path.id_key(F.col("doc_id")), "h", "text"), 0.999)
+    true = sum(1 for v in plain(rows).values() if v[2])
+    assert runs > 2 and reached >= 0.999 and found.select("rep").distinct().count() >= 0.98 * true > 50
+
+
 def test_components(spark):
     rng = np.random.default_rng(5)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1040)] + [(7, 7)]
