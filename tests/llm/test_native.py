@@ -100,6 +100,28 @@ def test_dedup(spark):
     assert digest_tree.dedup(frame(spark, [])).count() == 0
 
 
+def test_runs_merge_in_rounds(spark, monkeypatch):
+    for name, value in (("FAN", 2), ("RUN", 7), ("SLICE", 3), ("HOT", 4)):
+        monkeypatch.setattr(digest_tree, name, value)
+    rows = [(i if i % 11 else None, f"t{i % 17}" if i % 3 else "hot " * (i % 2 + 1)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    numbered = digest_tree.cut(digest_tree.digests(df).withColumn("row", F.monotonically_increasing_id()))
+    got = Counter((r.keep_id, r.n) for r in digest_tree.merged(numbered).collect())
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[BLANK.sub("", t)].append((-len(t), i is None, i or 0))
+    assert got == Counter((None if min(g)[1] else min(g)[2], len(g)) for g in groups.values())
+    out = digest_tree.dedup(df).collect()
+    assert sum(r.kept for r in out) == len(groups) and Counter(r.group_size for r in out) == Counter(len(g) for g in groups.values() for _ in g)
+    ids = spark.createDataFrame([("b", "x y"), ("a", "xy"), ("c", "x  y"), (None, "z")], "doc_id string, text string")
+    assert sorted((r.doc_id or "", r.keep_id or "", r.kept) for r in digest_tree.dedup(ids).collect()) == [("", "", True), ("a", "c", False), ("b", "c", False), ("c", "c", True)]
+
+
+def test_entries_that_fail_the_check_are_not_merged():
+    e = [(b"d", 1, 5, -3, False, 1, 0, 1), (b"d", 1, 5, -2, False, 2, 1, 4), (b"d", 2, 5, -9, False, 3, 2, 1), (b"d", 2, 6, -9, False, 4, 3, 1)]
+    assert [(x[5], x[7]) for x in digest_tree.combined(e)] == [(1, 5), (3, 1), (4, 1)]
+
+
 def test_chat_round_trip(spark):
     rows = [
         (1, 0, "system", "be \\ nice <|"), (1, 1, "user", "<\\|im_end|>\n"), (1, 2, "assistant", "a<|im_end|>\nb"), (1, 3, "user", None), (1, 4, "assistant", ""), (1, 5, "tool\n<x", "t"),
