@@ -145,9 +145,11 @@ def components(edges: DataFrame) -> DataFrame:
     last = None
     while True:
         both = pairs.union(pairs.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # the minima are cut off their aggregation, so that adaptive execution can split a node of very many edges in the join
+        low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = cut(large)
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         near = large.join(low, "u")
         small = near.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(near.select("u", F.col("m").alias("v")))
         pairs = cut(small.where("u <> v").distinct())
