@@ -9,7 +9,11 @@ from .graph import propagate
 from .lineage import cut
 
 
-def fixed_point(incidence: DataFrame, features: DataFrame, alpha: float = 0.5, near: float = 1e-6, rounds: int = 100) -> DataFrame:
+class NotConverged(RuntimeError):
+    """A loop that reached its most rounds before its tolerance; nothing half done is returned."""
+
+
+def fixed_point(incidence: DataFrame, features: DataFrame, alpha: float = 0.5, near: float = 1e-6, rounds: int = 1000) -> DataFrame:
     """node, dim, val: the solution of x = (1 - alpha) start + alpha M x, where M is one layer of ``propagate``.
 
     M averages, so for alpha below 1 each round shrinks the error by alpha at least; the
@@ -23,21 +27,24 @@ def fixed_point(incidence: DataFrame, features: DataFrame, alpha: float = 0.5, n
         moved = new.join(x.withColumnRenamed("val", "was"), ["node", "dim"]).agg(F.max(F.abs(F.col("val") - F.col("was")))).first()[0] or 0.0
         x = new
         if moved <= near * largest:
-            break
-    return x
+            return x
+    raise NotConverged(f"values still move by {moved} after {rounds} rounds")
 
 
-def radius(incidence: DataFrame, leak: float = 0.0, rounds: int = 8) -> DataFrame:
-    """rho, least_row, greatest_row: spectral radius of one layer by power iteration, and the bounds its row sums give it.
+def radius(incidence: DataFrame, leak: float = 0.0, near: float = 1e-6, rounds: int = 1000) -> DataFrame:
+    """rho, least_row, greatest_row: spectral radius of one layer, and the bounds its row sums give it.
 
-    All features start at 1, so the first layer gives the row sums themselves.
+    Power iteration on features that start at 1, so the first layer gives the row sums themselves. The entries are never negative, and no node that shares an
+    edge has a value of 0, so the least and the greatest quotient of two rounds bound the radius from both sides: the loop ends when they agree.
     """
     ones = incidence.select("node").distinct().select("node", F.lit(0).alias("dim"), F.lit(1.0).alias("val"))
     rows = x = cut(propagate(incidence, ones, 1, alpha=1.0, leak=leak))
-    rho = 0.0
+    was = cut(ones)
     for _ in range(rounds):
-        rho = x.agg(F.max("val")).first()[0] or 0.0  # the entries are never negative
-        if rho == 0.0:
-            break
-        x = cut(propagate(incidence, x.withColumn("val", F.col("val") / rho), 1, alpha=1.0, leak=leak))
-    return rows.agg(F.lit(rho).alias("rho"), F.min("val").alias("least_row"), F.max("val").alias("greatest_row"))
+        both = x.join(was.withColumnRenamed("val", "was"), ["node", "dim"]).agg(F.min(F.col("val") / F.col("was")), F.max(F.col("val") / F.col("was")), F.max("val")).first()
+        low, high, most = both
+        if low is None or high - low <= near * high:
+            return rows.agg(F.lit(((low or 0.0) + (high or 0.0)) / 2).alias("rho"), F.min("val").alias("least_row"), F.max("val").alias("greatest_row"))
+        was = cut(x.withColumn("val", F.col("val") / most))
+        x = cut(propagate(incidence, was, 1, alpha=1.0, leak=leak))
+    raise NotConverged(f"the radius lies between {low} and {high} after {rounds} rounds")

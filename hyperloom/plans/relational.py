@@ -117,7 +117,6 @@ TEXTS: dict[str, str] = {
     "superset_union": "SELECT doc_id, round(0.5E0 * mx + 0.25E0 * mean + 0.25E0 * least(1E0, 20 * rr) + least(0.05E0 * (n - 1), 0.2E0), 5) AS score FROM (SELECT doc_id, max(s) AS mx, avg(s) AS mean, sum(1E0 / (60 + r)) AS rr, count(*) AS n FROM (SELECT doc_id, query_id, rank AS r, CASE WHEN max(score) OVER w - min(score) OVER w < 0.000000001E0 THEN 1E0 / rank ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS s FROM lap WHERE rank <= 50 WINDOW w AS (PARTITION BY query_id)) x GROUP BY doc_id) y",
     "path_geometry": "SELECT user_id, count(*) AS steps, round(avg(sqrt(abs(value * nxt))), 4) AS potential, sum(CASE WHEN nxt >= value THEN 1 ELSE 0 END) AS forward FROM (SELECT user_id, value, lead(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) x WHERE nxt IS NOT NULL GROUP BY user_id",
     "anchors": "SELECT frame_id, round(1 - exp(sum(ln(1 - 0.5E0 * confidence))), 6) AS strength FROM edge WHERE doc_id < 200 GROUP BY frame_id",
-    "morphology": "SELECT user_id, round(sum(share * share), 6) AS hhi, round(-sum(share * ln(share)) / ln(2E0), 6) AS entropy FROM (SELECT user_id, n / sum(n) OVER (PARTITION BY user_id) AS share FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type) x) y GROUP BY user_id",
 }
 
 #: What Spark runs in place of a text whose twin takes only a part of the table, or of the replicates.

@@ -87,3 +87,13 @@ SELECT g, count(*) AS n, round(corr(a, b), 6) AS rho FROM r GROUP BY g""")
 def within_rank_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("g"), "l_quantity", "l_extendedprice")
     return inference.within_rank_correlation(rows, "g", "l_quantity", "l_extendedprice").select("g", "n", F.round("rho", 6).alias("rho"))
+
+
+@plan("morphology", """WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type), u AS (SELECT user_id, sum(n)::DOUBLE AS total, sum(n * n)::DOUBLE AS squares, list_sort(list(n)) AS ns FROM c GROUP BY user_id)
+SELECT user_id, round(squares / (total * total), 6) AS hhi, round((ln(total) - list_sum(list_transform(ns, lambda n: n * ln(n))) / total) / ln(2), 6) AS entropy FROM u""")
+def morphology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How a user's events spread over types: concentration from whole counts, entropy summed in the order of the counts."""
+    counts = read(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    users = counts.groupBy("user_id").agg(F.sum("n").cast("double").alias("total"), F.sum(F.col("n") * F.col("n")).cast("double").alias("squares"), F.sort_array(F.collect_list("n")).alias("ns"))
+    spread = F.aggregate("ns", F.lit(0.0), lambda s, n: s + n * F.log(n.cast("double")))
+    return users.select("user_id", F.round(F.col("squares") / (F.col("total") * F.col("total")), 6).alias("hhi"), F.round((F.log("total") - spread / F.col("total")) / F.log(F.lit(2.0)), 6).alias("entropy"))
