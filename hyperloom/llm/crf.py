@@ -37,7 +37,7 @@ from .shared import fold, letter_words, ship, windows
 
 PER_LANGUAGE = 300
 LEXICON = 400
-WORDS_AT_ONCE = 1_000_000
+WORDS_AT_ONCE = 400_000
 REMEMBER = 400_000
 CHAIN = 2_000
 LANGUAGES = 64
