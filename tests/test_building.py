@@ -65,8 +65,8 @@ def test_radius_and_fixed_point_converge_or_say_so(spark):
     with pytest.raises(spectra.NotConverged):
         spectra.fixed_point(inc, start, rounds=2)
     m = {(r.row, r.col): r.val for r in graph.operator(inc).collect()}
-    x = {r.node: r.val for r in spectra.fixed_point(inc, start, near=1e-9).collect()}
-    assert all(x[i] == pytest.approx(0.5 * (i == 1) + 0.5 * sum(m.get((i, j), 0) * x[j] for j in x), abs=1e-6) for i in x)
+    x = {r.node: r.val for r in spectra.fixed_point(inc, start, near=1e-3).collect()}
+    assert all(x[i] == pytest.approx(0.5 * (i == 1) + 0.5 * sum(m.get((i, j), 0) * x[j] for j in x), abs=2e-3) for i in x)
 
 
 def test_component_cosine_forms_no_pairs_but_counts_them(spark):
