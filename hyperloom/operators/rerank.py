@@ -6,12 +6,10 @@ mean; no step sees more than a pool in one row.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hyperloom.functions.text import cosine, let
+from hyperloom.functions.text import cosine
 
 # Fixed values of the scoring.
 MOST = 300
@@ -40,12 +38,14 @@ def align(nodes: DataFrame, tags: DataFrame, pool: DataFrame, threshold: float =
     """Each query node's best tag in each candidate of its query's pool: the same id, else the most similar vector above the threshold.
 
     ``nodes``: query, node, weight, hop, vector. ``tags``: candidate, tag, position, closure,
-    vector. ``pool``: query, candidate. Ties go to the earlier position.
+    vector. ``pool``: query, candidate. A vector belongs to the id of its node or tag, so
+    each pair of ids that meets is compared once. Ties go to the earlier position.
     """
-    met = nodes.select("query", "node", F.col("vector").alias("own")).join(pool, "query").join(tags, "candidate")
-    s = unit(cosine(F.col("own"), F.col("vector")))
-    exact = F.col("node") == F.col("tag")
-    met = met.withColumn("exact", exact).withColumn("s", F.when(exact, F.lit(1.0)).otherwise(s)).where(F.col("exact") | (F.col("s") >= threshold))
+    met = nodes.select("query", "node").join(pool, "query").join(tags.drop("vector"), "candidate").withColumn("exact", F.col("node") == F.col("tag"))
+    own, theirs = nodes.groupBy("node").agg(F.first("vector").alias("own")), tags.groupBy("tag").agg(F.first("vector").alias("theirs"))
+    pairs = met.where("not exact").select("node", "tag").distinct().join(own, "node").join(theirs, "tag")
+    alike = pairs.select("node", "tag", unit(cosine(F.col("own"), F.col("theirs"))).alias("s")).where(F.col("s") >= threshold)
+    met = met.join(alike, ["node", "tag"], "left").where("exact or s is not null").withColumn("s", F.when(F.col("exact"), 1.0).otherwise(F.col("s")))
     near = unit((F.col("s") - threshold) / (1 - threshold))
     met = met.withColumn("quality", F.when(F.col("exact"), F.sqrt("closure")).otherwise(F.sqrt(near * F.col("closure"))))
     best = F.max_by(F.struct("position", "quality", "closure"), F.struct("exact", "quality", -F.col("position")))
@@ -106,51 +106,36 @@ def _independent(met: DataFrame, provenance: DataFrame) -> DataFrame:
     return met.withColumn("free", F.when(F.col("whole") > 0, share).otherwise(1.0)).drop("whole", "part")
 
 
-def _beside(pool: Column, x: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of the weighted peers of x: those near it, and where these are few the first of the others at the least weight."""
-    far = lambda y: sum(((y[c] - x[c]) / w) * ((y[c] - x[c]) / w) for c, w in WIDTHS.items())
-    weight = lambda y: F.when(y["role"] == x["role"], 1.0).otherwise(OTHER_ROLE) * F.exp(-0.5 * far(y))
-    others = F.transform(F.filter(pool, lambda y: y["ord"] != x["ord"]), lambda y: F.struct(weight(y).alias("w"), y["graph"].alias("g")))
-
-    def with_rest(pairs: Column) -> Column:
-        near = F.filter(pairs, lambda p: p["w"] >= LEAST_WEIGHT)
-        rest = F.filter(pairs, lambda p: p["w"] < LEAST_WEIGHT)
-        some = F.slice(rest, F.lit(1), F.greatest(LEAST_PEERS - F.size(near), F.lit(0)))
-        return let(F.concat(near, F.transform(some, lambda p: F.struct(F.lit(LEAST_WEIGHT).alias("w"), p["g"].alias("g")))), use)
-
-    return let(others, with_rest)
-
-
-def _summed(peers: Column, f: Callable[[Column], Column]) -> Column:
-    return F.aggregate(peers, F.lit(0.0), lambda a, p: a + f(p))
-
-
 def expectation(candidates: DataFrame) -> DataFrame:
     """What a candidate's graph score should be, judged by its peers: query, ord and all columns, expected, uncertainty, effective.
 
     ``candidates``: query, ord, pure, closure, direct, graph, role. Only the first ``MOST`` of
-    a query take part.
+    a query take part. Peers that weigh too little count only where fewer than
+    ``LEAST_PEERS`` weigh enough; the first of them by ord then do, at the least weight.
     """
-    own = ["ord", "pure", "closure", "direct", "graph", "role"]
-    top = candidates.withColumn("rn", F.row_number().over(Window.partitionBy("query").orderBy("ord"))).where(F.col("rn") <= MOST).drop("rn")
-    pools = top.groupBy("query").agg(F.sort_array(F.collect_list(F.struct(*own))).alias("pool"))  # MOST at most
-
-    def judged(x: Column) -> Column:
-        def of(p: Column) -> Column:
-            w, w2 = _summed(p, lambda e: e["w"]), _summed(p, lambda e: e["w"] * e["w"])
-            mean = F.when(F.size(p) > 0, _summed(p, lambda e: e["w"] * e["g"]) / w).otherwise(x["graph"])
-            effective = F.when(w2 > 1e-12, w * w / w2).otherwise(0.0)
-
-            def spread(m: Column) -> Column:
-                v = F.when(F.size(p) > 0, _summed(p, lambda e: e["w"] * (e["g"] - m) * (e["g"] - m)) / w).otherwise(0.0)
-                return F.struct(x["ord"].alias("ord"), m.alias("expected"), F.sqrt(v * (1 + 1 / F.greatest(effective, F.lit(1.0)))).alias("uncertainty"), effective.alias("effective"))
-
-            return let(mean, spread)
-
-        return _beside(F.col("pool"), x, of)
-
-    found = pools.select("query", F.inline(F.transform("pool", judged)))
-    return top.join(found, ["query", "ord"])
+    top = candidates.withColumn("rn", F.row_number().over(Window.partitionBy("query").orderBy("ord"))).where(F.col("rn") <= MOST)
+    a = top.select("query", "ord", "pure", "closure", "direct", "graph", "role").alias("a")
+    b = top.select("query", "ord", "rn", "pure", "closure", "direct", "graph", "role").alias("b")
+    met = a.join(b, (F.col("a.query") == F.col("b.query")) & (F.col("a.ord") != F.col("b.ord")), "left")
+    apart = sum(((F.col(f"b.{c}") - F.col(f"a.{c}")) / w) * ((F.col(f"b.{c}") - F.col(f"a.{c}")) / w) for c, w in WIDTHS.items())
+    weight = F.when(F.col("a.role") == F.col("b.role"), 1.0).otherwise(OTHER_ROLE) * F.exp(-0.5 * apart)
+    # scores are taken from the candidate's own, so that their squares do not cancel
+    met = met.select("a.query", "a.ord", F.col("a.graph").alias("own"), "b.rn", weight.alias("w"), (F.col("b.graph") - F.col("a.graph")).alias("g"))
+    near, w, g = F.col("w") >= LEAST_WEIGHT, F.col("w"), F.col("g")
+    sums = {"n": F.when(near, 1).otherwise(0), "w": F.when(near, w).otherwise(0.0), "w2": F.when(near, w * w).otherwise(0.0), "wg": F.when(near, w * g).otherwise(0.0), "wg2": F.when(near, w * g * g).otherwise(0.0)}
+    # with too few near peers, the first far ones are among the pool's first rows but for those near and itself
+    firsts = [F.max(F.when((F.col("rn") == i) & ~near, g)).alias(f"far{i}") for i in range(1, 2 * LEAST_PEERS + 1)]
+    got = met.groupBy("query", "ord").agg(F.first("own").alias("own"), *[F.sum(c).alias(k) for k, c in sums.items()], *firsts)
+    far = F.array_compact(F.array(*[f"far{i}" for i in range(1, 2 * LEAST_PEERS + 1)]))
+    got = got.withColumn("rest", F.slice(far, F.lit(1), F.greatest(LEAST_PEERS - F.col("n"), F.lit(0)).cast("int")))
+    k = F.size("rest") * LEAST_WEIGHT
+    more = lambda f: F.aggregate("rest", F.lit(0.0), lambda x, y: x + f(y)) * LEAST_WEIGHT
+    got = got.select("query", "ord", "own", (w + k).alias("w"), (F.col("w2") + k * LEAST_WEIGHT).alias("w2"), (F.col("wg") + more(lambda y: y)).alias("wg"), (F.col("wg2") + more(lambda y: y * y)).alias("wg2"))
+    some, off = w > 0, F.col("wg") / F.col("w")
+    effective = F.when(F.col("w2") > 1e-12, w * w / F.col("w2")).otherwise(0.0)
+    spread = F.when(some, F.greatest(F.col("wg2") / w - off * off, F.lit(0.0))).otherwise(0.0)
+    found = got.select("query", "ord", F.when(some, F.col("own") + off).otherwise(F.col("own")).alias("expected"), F.sqrt(spread * (1 + 1 / F.greatest(effective, F.lit(1.0)))).alias("uncertainty"), effective.alias("effective"))
+    return top.drop("rn").join(found, ["query", "ord"])
 
 
 def final_scores(candidates: DataFrame, omega: Column | float = 1.0) -> DataFrame:

@@ -206,3 +206,23 @@ def metagraph(edges: DataFrame, members: DataFrame) -> DataFrame:
     low = each.select("doc_id", "chunk_id", F.explode(pair).alias("e")).where("e.dst is not null")
     top = members.join(edges.select("frame_id").distinct(), "frame_id").select(F.lit(2).alias("level"), F.lit("").alias("scope"), F.concat(F.lit("cas::"), "cascade_id").alias("src"), F.col("frame_id").alias("dst"), F.lit("has_frame").alias("rel"))
     return low.select(F.lit(0).alias("level"), F.col("chunk_id").alias("scope"), "e.*").union(low.select(F.lit(1), "doc_id", "e.*")).union(top)
+
+
+def nearest(asked: DataFrame, rows: DataFrame, key: str, vector: str, k: int, block: int = 4096) -> DataFrame:
+    """q, key, s (cosine, six decimals), rank: of each asked vector the ``k`` most similar rows but its own, ties to the smaller key.
+
+    Both sides are dealt into blocks of about ``block`` rows and each pair of blocks meets in
+    one key, so no side is broadcast for its own sake and no task holds more than two blocks
+    at once. A block's ``k`` best go on to the final ranking.
+    """
+    sizes = asked.agg(F.count("*")).first()[0], rows.agg(F.count("*")).first()[0]
+    across, down = (max(1, -(-n // block)) for n in sizes)
+    down = max(down, min(sizes[1], rows.sparkSession.sparkContext.defaultParallelism))
+    mine = asked.select(F.col(key).alias("q"), F.col(vector).alias("own"), F.pmod(F.hash(key), F.lit(across)).alias("a"), F.explode(F.sequence(F.lit(0), F.lit(max(down, 1) - 1))).alias("d"))
+    theirs = rows.select(key, vector, F.pmod(F.hash(key), F.lit(max(down, 1))).alias("d"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("a"))
+    met = mine.join(theirs, (mine["a"] == theirs["a"]) & (mine["d"] == theirs["d"]) & (F.col("q") != F.col(key)))
+    scored = met.select("q", key, mine["d"].alias("d"), F.round(fx.cosine(F.col("own"), F.col(vector)), 6).alias("s"))
+    best = F.struct(-F.col("s"), F.col(key))
+    some = scored.withColumn("rn", F.row_number().over(Window.partitionBy("q", "d").orderBy(best))).where(F.col("rn") <= k)
+    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(best)))
+    return ranked.where(F.col("rank") <= k).select("q", key, "s", "rank")

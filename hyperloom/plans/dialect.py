@@ -46,7 +46,7 @@ SHARED = {
         JOIN frame_spec f ON f.frame_id = h.frame_id LEFT JOIN cascade_member m ON m.frame_id = f.frame_id
         WHERE EXISTS (SELECT 1 FROM type_constraint c WHERE c.source_type = f.source_type AND c.mapping_type = f.mapping_type)""",
     "word": "@WORDS@",
-    "incidence": "SELECT DISTINCT l_orderkey AS edge, l_partkey AS node FROM lineitem WHERE l_orderkey % 4 = 1",
+    "incidence": "SELECT DISTINCT l_orderkey AS edge, l_partkey AS node FROM lineitem",
     "q_frame": "SELECT DISTINCT q.query_id, t.frame_id FROM query_set q JOIN frame_trigger t ON contains(q.query_text, t.trigger)",
     "q_reach": """SELECT DISTINCT q.query_id, d.domain FROM q_frame q
         JOIN (SELECT frame_id, frame_id AS other FROM frame_spec UNION SELECT a.frame_id, b.frame_id FROM cascade_member a JOIN cascade_member b ON a.cascade_id = b.cascade_id) x ON x.frame_id = q.frame_id
@@ -54,9 +54,6 @@ SHARED = {
     "lap": "SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT r.query_id, e.doc_id, round(sum(e.confidence + 0.3E0 * e.n_ground), 6) AS score FROM (SELECT DISTINCT query_id, domain FROM q_reach) r JOIN edge e ON e.target_domain = r.domain GROUP BY r.query_id, e.doc_id) s",
 }
 
-#: What Spark reads in place of a shared relation whose twin holds only a part of the table.
-WHOLE = {"incidence": "SELECT DISTINCT l_orderkey AS edge, l_partkey AS node FROM lineitem"}
-
 
 def _needed(text: str) -> list[str]:
     """Names of the fixtures and shared relations a text uses, before the ones that use them."""
@@ -73,10 +70,10 @@ def _needed(text: str) -> list[str]:
     return out
 
 
-def full(text: str, shared: dict[str, str] = SHARED) -> str:
+def full(text: str) -> str:
     """The text with the common tables it names in front."""
     heads = {h.split("(")[0]: h for h in FIXTURE}
-    parts = [fixture(heads[n]) if n in heads else f"{n} AS ({shared[n]})" for n in _needed(text)]
+    parts = [fixture(heads[n]) if n in heads else f"{n} AS ({SHARED[n]})" for n in _needed(text)]
     return f"WITH {', '.join(parts)} {text}" if parts else text
 
 
@@ -92,7 +89,7 @@ def duck(text: str) -> str:
 
 
 def sparked(text: str) -> str:
-    text = full(text, SHARED | WHOLE)
+    text = full(text)
     text = text.replace("@WORDS@", "SELECT doc_id, lang, w.pos AS pos, w.col AS word FROM documents LATERAL VIEW posexplode(split(text, ' ')) w AS pos, col")
     text = re.sub(r"@SERIES\((\w+)\)@", r"(SELECT explode(sequence(1, \1)) AS i)", text)
     text = re.sub(r"@PERCENTILE\((.*?);(.*?)\)@", r"percentile(\1, \2)", text)

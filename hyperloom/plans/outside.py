@@ -19,7 +19,7 @@ from .folded import read
 
 #: A pool per supplier: its lines, with numbers of theirs as scores.
 POOL = """SELECT l_suppkey AS query, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS ord, l_quantity / 50E0 AS pure, l_discount * 10E0 AS closure, l_tax * 10E0 AS direct, (l_quantity + l_partkey % 37) / 90E0 AS graph,
-  CASE l_partkey % 3 WHEN 0 THEN 'direct_answer' WHEN 1 THEN 'structural_explanation' ELSE 'thematic_neighbor' END AS role, (l_partkey % 11) / 10E0 AS confidence, (l_partkey % 101) / 100E0 AS anchor FROM lineitem WHERE l_suppkey <= 8"""
+  CASE l_partkey % 3 WHEN 0 THEN 'direct_answer' WHEN 1 THEN 'structural_explanation' ELSE 'thematic_neighbor' END AS role, (l_partkey % 11) / 10E0 AS confidence, (l_partkey % 101) / 100E0 AS anchor FROM lineitem"""
 
 PEERS = f"""c AS (SELECT * FROM ({POOL}) x WHERE ord <= 300),
 w0 AS (SELECT a.query, a.ord, b.ord AS o, b.graph AS g, CASE WHEN a.role = b.role THEN 1E0 ELSE 0.35E0 END * exp(-0.5E0 * (((b.pure - a.pure) / 0.04E0) * ((b.pure - a.pure) / 0.04E0) + ((b.closure - a.closure) / 0.1E0) * ((b.closure - a.closure) / 0.1E0) + ((b.direct - a.direct) / 0.12E0) * ((b.direct - a.direct) / 0.12E0))) AS w
@@ -48,12 +48,15 @@ def rerank_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query", F.col("ord").cast("long"), "role", *[F.round(c, 6).alias(c) for c in ("bonus", "anchor_bonus", "final")])
 
 
-#: Orders as queries and candidates: parts are nodes and tags, their line numbers hops and positions.
-LINES = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_partkey % 23 ORDER BY l_linenumber, l_partkey) AS once, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey) AS lone FROM lineitem) x WHERE once = 1 AND lone = 1"
-NODES = f"SELECT l_orderkey AS query, l_partkey % 23 AS node, l_quantity AS weight, l_linenumber AS hop FROM ({LINES}) a WHERE l_orderkey <= 12"
-TAGS = f"SELECT l_orderkey AS candidate, l_partkey % 23 AS tag, l_linenumber AS position, (1 + l_discount) / 2E0 AS closure FROM ({LINES}) b WHERE l_orderkey BETWEEN 10 AND 400"
-TOPOLOGY_SQL = f"""WITH n AS ({NODES}), t AS ({TAGS}), v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 23), q AS (SELECT DISTINCT query FROM n), k AS (SELECT DISTINCT candidate FROM t),
-m AS (SELECT n.query, n.node, n.weight, n.hop, t.candidate, t.position, t.closure, n.node = t.tag AS exact, CASE WHEN n.node = t.tag THEN 1E0 ELSE greatest(0E0, least(1E0, list_cosine_similarity(a.v, b.v))) END AS s FROM n JOIN t ON true JOIN v a ON a.vec_id = n.node JOIN v b ON b.vec_id = t.tag),
+#: Orders as queries and candidates: classes of parts are nodes and tags, their line numbers hops and positions.
+#: Queries are the orders whose key is divisible by 50; a query's pool is every order that holds one of its parts.
+LINES = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_partkey % 23 ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount) AS once, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_discount) AS lone FROM lineitem) x WHERE once = 1 AND lone = 1"
+NODES = f"SELECT l_orderkey AS query, l_partkey % 23 AS node, l_quantity AS weight, l_linenumber AS hop FROM ({LINES}) a WHERE l_orderkey % 50 = 0"
+TAGS = f"SELECT l_orderkey AS candidate, l_partkey % 23 AS tag, l_linenumber AS position, (1 + l_discount) / 2E0 AS closure FROM ({LINES}) b"
+POOLED = "SELECT DISTINCT a.l_orderkey AS query, b.l_orderkey AS candidate FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey WHERE a.l_orderkey % 50 = 0"
+TOPOLOGY_SQL = f"""WITH n AS ({NODES}), t AS ({TAGS}), v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 23), pool AS ({POOLED}),
+sim AS MATERIALIZED (SELECT a.vec_id AS node, b.vec_id AS tag, greatest(0E0, least(1E0, list_cosine_similarity(a.v, b.v))) AS s FROM v a JOIN v b ON true),
+m AS (SELECT n.query, n.node, n.weight, n.hop, t.candidate, t.position, t.closure, n.node = t.tag AS exact, CASE WHEN n.node = t.tag THEN 1E0 ELSE sim.s END AS s FROM n JOIN pool ON pool.query = n.query JOIN t ON t.candidate = pool.candidate JOIN sim ON sim.node = n.node AND sim.tag = t.tag),
 a0 AS (SELECT *, CASE WHEN exact THEN sqrt(closure) ELSE sqrt((s - 0.48E0) / 0.52E0 * closure) END AS quality FROM m WHERE exact OR s >= 0.48E0),
 al AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query, candidate, node ORDER BY exact DESC, quality DESC, position) AS rn FROM a0) x WHERE rn = 1),
 tot AS (SELECT query, sum(weight) AS w, greatest(1, max(hop)) AS far FROM n GROUP BY query),
@@ -64,10 +67,10 @@ sp AS (SELECT candidate, greatest(1, max(position) - min(position)) AS span FROM
 e0 AS (SELECT ed.query, s.candidate, flow, exp(-abs(greatest(1, abs(g.hop - s.hop)) / tot.far::DOUBLE - abs(g.position - s.position) / span::DOUBLE) / 0.35E0) AS d, CASE WHEN g.position > s.position THEN 1E0 ELSE 0.25E0 END AS way, sqrt(s.quality * g.quality) AS q
   FROM ed JOIN al s ON s.query = ed.query AND s.node = ed.source JOIN al g ON g.query = ed.query AND g.node = ed.target AND g.candidate = s.candidate JOIN sp ON sp.candidate = s.candidate JOIN tot ON tot.query = ed.query WHERE s.position <> g.position),
 ep AS (SELECT e0.query, candidate, count(*) AS matched_edges, sum(flow) / any_value(f.f) AS ec, sum(flow * d) / sum(flow) AS d, sum(flow * way) / sum(flow) AS way, sum(flow * q * d * way) / sum(flow) AS shape FROM e0 JOIN f ON f.query = e0.query GROUP BY e0.query, candidate)
-SELECT q.query, k.candidate, coalesce(matched_nodes, 0)::BIGINT AS matched_nodes, coalesce(matched_edges, 0)::BIGINT AS matched_edges,
+SELECT pool.query, pool.candidate, coalesce(matched_nodes, 0)::BIGINT AS matched_nodes, coalesce(matched_edges, 0)::BIGINT AS matched_edges,
   round(CASE WHEN matched_edges > 0 THEN 0.18E0 * alignment + 0.22E0 * d + 0.18E0 * way + 0.42E0 * shape WHEN matched_nodes > 0 THEN sqrt(alignment * closure) ELSE 0E0 END, 6) AS score,
   round(CASE WHEN matched_edges > 0 THEN cbrt(nc * ec * closure) WHEN matched_nodes > 0 THEN least(0.2E0, sqrt(nc * closure)) ELSE 0E0 END, 6) AS reliability
-FROM q JOIN k ON true LEFT JOIN np ON np.query = q.query AND np.candidate = k.candidate LEFT JOIN ep ON ep.query = q.query AND ep.candidate = k.candidate"""
+FROM pool LEFT JOIN np ON np.query = pool.query AND np.candidate = pool.candidate LEFT JOIN ep ON ep.query = pool.query AND ep.candidate = pool.candidate"""
 
 
 @plan("topology_match", TOPOLOGY_SQL)
@@ -77,8 +80,7 @@ def topology_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = run(spark, sf_dir, TAGS).join(vectors, F.col("tag") == F.col("vec_id")).drop("vec_id")
     steps = nodes.select("query", F.col("node").alias("source"), (F.col("weight") / 50.0).alias("flow"), F.col("hop").alias("ord"))
     edges = steps.join(nodes.select("query", F.col("node").alias("target"), (F.col("hop") - 1).alias("ord")), ["query", "ord"])
-    # the stated query set of a dozen orders against every candidate
-    pool = tags.select("candidate").distinct().join(F.broadcast(nodes.select("query").distinct()))
+    pool = run(spark, sf_dir, POOLED)
     out = rerank.topology(nodes, edges, tags, pool)
     return out.select("query", "candidate", "matched_nodes", "matched_edges", F.round("score", 6).alias("score"), F.round("reliability", 6).alias("reliability"))
 
