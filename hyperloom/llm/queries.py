@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, chosen_path, crf, digest_tree, hilbert, kmeans_tree, mixing, pieces, skip_chain, suffix_dedup, tandem, toxicity
+from . import chat, chosen_path, crf, dial, digest_tree, hilbert, kmeans_tree, mixing, pieces, skip_chain, suffix_dedup, tandem, toxicity
 from .shared import table
 
 #: Said by both turns of the extra conversation: a text that looks like the template.
@@ -63,6 +63,11 @@ def op10_kmeans_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeans_tree.search(table(spark, sf_dir, "embeddings"), k=10, every=100)
 
 
+def op11_dial_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return dial.repaired(dial.damaged(rows), rows)
+
+
 def op12_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return skip_chain.find(docs, skip_chain.fit(docs))
@@ -72,4 +77,4 @@ def op13_tandem_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tandem.periodic(table(spark, sf_dir, "documents"), tail=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op2_deep_shallow_suffixes, op3_kneser_ney_toxicity, op4_crf_language, op5_aho_corasick_pieces, op6_systematic_mix, op7_digest_tree, op8_prefix_targets, op9_chosen_path_join, op10_kmeans_tree_search, op12_skip_chain_pii, op13_tandem_runs)}
+QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op2_deep_shallow_suffixes, op3_kneser_ney_toxicity, op4_crf_language, op5_aho_corasick_pieces, op6_systematic_mix, op7_digest_tree, op8_prefix_targets, op9_chosen_path_join, op10_kmeans_tree_search, op11_dial_repair, op12_skip_chain_pii, op13_tandem_runs)}
