@@ -3,39 +3,30 @@
 from __future__ import annotations
 
 import base64
-import json
-import urllib.error
-import urllib.request
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hyperloom.operators.hooks import FatalReply
+from hyperloom.operators.hooks import http_call
 
 BATCH = 200
 Post = Callable[[list[str]], object]
 
 
+def outcome(told: dict) -> list[list]:
+    """Rows of each statement of a transaction; what the server reports as errors is raised, as none of it was kept."""
+    if faults := [f"{e.get('code')}: {e.get('message')}" for e in told.get("errors") or ()]:
+        raise RuntimeError("; ".join(faults))
+    return [part["data"] for part in told.get("results", ()) if "data" in part]
+
+
 def http_poster(url: str, user: str, password: str, database: str = "neo4j", timeout: float = 60.0) -> Post:
-    """Posts a list of statements as one transaction. Refused credentials are fatal, reported errors are raised."""
-    target = f"{url.rstrip('/')}/db/{database}/tx/commit"
-    badge = base64.b64encode(f"{user}:{password}".encode()).decode()
-
-    def post(statements: list[str]) -> list:
-        body = json.dumps({"statements": [{"statement": s, "parameters": {}} for s in statements]}).encode()
-        asked = urllib.request.Request(target, body, {"Content-Type": "application/json", "Authorization": f"Basic {badge}"})
-        try:
-            with urllib.request.urlopen(asked, timeout=timeout) as reply:
-                told = json.load(reply)
-        except urllib.error.HTTPError as e:
-            raise (FatalReply if e.code in (401, 403) else RuntimeError)(f"the server answered {e.code}") from e
-        if told.get("errors"):
-            raise RuntimeError("; ".join(f"{e.get('code')}: {e.get('message')}" for e in told["errors"]))
-        return [r.get("data", []) for r in told.get("results", [])]
-
-    return post
+    """A ``call`` that posts statements as one transaction, once: a retry could post it twice, so the caller decides on it."""
+    wrap = lambda statements: {"statements": [{"statement": s} for s in statements]}
+    login = base64.b64encode(f"{user}:{password}".encode()).decode()
+    return http_call(f"{url.rstrip('/')}/db/{database}/tx/commit", wrap, outcome, {"Authorization": f"Basic {login}"}, tries=1, timeout=timeout)
 
 
 def transactions(statements: DataFrame, post: Post, schema_statements: list[str] = (), size: int = BATCH) -> DataFrame:
