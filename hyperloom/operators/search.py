@@ -113,15 +113,16 @@ def reliability_factor(edges: DataFrame, floor: float = 0.5) -> Column:
     return floor + (1 - floor) * F.least(F.lit(1.0), F.greatest(F.lit(0.0), least))
 
 
-def arms(features: DataFrame, edges: DataFrame, floor: float = 0.5) -> DataFrame:
+def arms(features: DataFrame, edges: DataFrame, floor: float = 0.5, trained: Column | None = None) -> DataFrame:
     """query_id, chunk_id, arm, score: each scoring arm's best edge of a chunk, plain and discounted by reliability.
 
-    features: by kind, of ``text_features`` or ``strongest``. One pass over the edges gives all arms.
+    features: by kind, of ``text_features`` or ``strongest``. One pass over the edges gives all arms. ``trained``: a learned score of the features, an arm of its own.
     """
     bare = {k: v for k, v in HAND.items() if k not in ("same_frame", "same_cascade")}
-    scores = features.select("query_id", "kind", hand_score(HAND).alias("hand"), hand_score(LEGACY).alias("legacy"), hand_score(bare).alias("no_role"))
+    said = {"hand": hand_score(HAND), "legacy": hand_score(LEGACY), "no_role": hand_score(bare)} | ({} if trained is None else {"trained": trained})
+    scores = features.select("query_id", "kind", *[c.alias(a) for a, c in said.items()])
     rows = kind_of(edges).withColumn("factor", reliability_factor(edges, floor)).select("chunk_id", "kind", "factor").join(scores, "kind")
-    each = F.map_from_arrays(F.array(*[F.lit(a + tail) for a in ("hand", "legacy", "no_role") for tail in ("", "_reliable")]), F.array(*[F.col(a) * f for a in ("hand", "legacy", "no_role") for f in (F.lit(1.0), F.col("factor"))]))
+    each = F.map_from_arrays(F.array(*[F.lit(a + tail) for a in said for tail in ("", "_reliable")]), F.array(*[F.col(a) * f for a in said for f in (F.lit(1.0), F.col("factor"))]))
     return rows.select("query_id", "chunk_id", F.explode(each).alias("arm", "score")).groupBy("query_id", "chunk_id", "arm").agg(F.max("score").alias("score"))
 
 

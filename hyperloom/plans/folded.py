@@ -107,19 +107,3 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector whose id is divisible by 50 against all vectors."""
     e = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return search.nearest(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding", 5).select("q", "vec_id", "rank")
-
-
-@plan("ranker_scores")
-def ranker_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Logistic ranker: standard scaling, class-balanced weights, whole data."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
-    rows = docs.join(labels, "doc_id").select("doc_id", F.col("quality").cast("double").alias("label"), F.log1p("n_chars").alias("f1"), F.size(F.split("text", "\n")).cast("double").alias("f2"), (F.length(F.regexp_replace("text", "[^%#$&*]", "")) / F.length("text")).alias("f3"))
-    share = rows.agg(F.avg("label")).first()[0]
-    rows = rows.withColumn("weight", F.when(F.col("label") == 1, 0.5 / share).otherwise(0.5 / (1 - share)))
-    steps = [VectorAssembler(inputCols=["f1", "f2", "f3"], outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True), LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", regParam=1e-4)]
-    return Pipeline(stages=steps).fit(rows).transform(rows).select("doc_id", F.round(vector_to_array("probability")[1], 4).alias("score"))
