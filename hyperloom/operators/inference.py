@@ -56,19 +56,25 @@ def wilcoxon(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def sign_test(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """wins, n, p: the exact binomial test; null without differences. The terms are summed by logarithms of factorials, so n may be large."""
+    """wins, n, p: the exact binomial test; null without differences. n may be large, see ``two_sided``."""
     sums = pairs.agg(F.sum((F.col(a) > F.col(b)).cast("long")).alias("wins"), F.sum((F.col(a) != F.col(b)).cast("long")).alias("n"))
     return sums.withColumn("p", two_sided(F.col("wins"), F.col("n")))
 
 
 def two_sided(k: Column, n: Column) -> Column:
-    """Exact two-sided binomial p at one half. The tail's terms follow from one another, from 1 at its largest, so none underflows before it is negligible."""
+    """Exact two-sided binomial p at one half. The tail's terms follow from one another, from 1 at its largest, and end when they are negligible: after some multiple of the root of n."""
     low = F.least(k, n - k)
-    # ln of the largest term, C(n, low) / 2^n, as a sum of logarithms
-    first = F.aggregate(F.when(low > 0, F.sequence(F.lit(1).cast("long"), low)).otherwise(F.array().cast("array<bigint>")), -n * F.lit(math.log(2.0)), lambda s, i: s + F.log((n - low + i) / i))
+    upto = lambda m: F.when(m > 0, F.sequence(F.lit(1).cast("long"), m)).otherwise(F.array().cast("array<bigint>"))
+    # ln of the largest term, C(n, low) / 2^n: factor by factor if there are few, else by Stirling's series about the mean
+    few = F.aggregate(upto(F.least(low, F.lit(16).cast("long"))), -n * F.lit(math.log(2.0)), lambda s, i: s + F.log((n - low + i) / i))
+    rest = lambda x: 1 / (12.0 * x) - 1 / (360.0 * x * x * x) + 1 / (1260.0 * x * x * x * x * x)
+    nd, ld, hd = (c.cast("double") for c in (n, low, n - low))
+    off = (2 * ld - nd) / nd
+    many = -nd * ((1 + off) / 2 * F.log1p(off) + (1 - off) / 2 * F.log1p(-off)) + F.log(nd / (2 * math.pi * ld * hd)) / 2 + rest(nd) - rest(ld) - rest(hd)
+    first = F.when(low <= 16, few).otherwise(many)
     start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("all"))
     step = lambda s, j: F.struct((s["term"] * (low - j + 1) / (n - low + j)).alias("term"), (s["all"] + s["term"] * (low - j + 1) / (n - low + j)).alias("all"))
-    tail = F.aggregate(F.when(low > 0, F.sequence(F.lit(1).cast("long"), low)).otherwise(F.array().cast("array<bigint>")), start, step)
+    tail = F.aggregate(upto(F.least(low, (64 + 12 * F.sqrt(nd)).cast("long"))), start, step)
     return F.when(n > 0, F.least(F.lit(1.0), 2 * F.exp(first + F.log(tail["all"]))))
 
 

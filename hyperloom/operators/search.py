@@ -214,8 +214,10 @@ def nearest(asked: DataFrame, rows: DataFrame, key: str, vector: str, k: int, bl
 
     Both sides are dealt into blocks of about ``block`` rows and each pair of blocks meets in
     one key, so no side is broadcast for its own sake and no task holds more than two blocks
-    at once. A block's ``k`` best go on to the final ranking.
+    at once. A block's ``k`` best go on to the final ranking. Vectors that are null or hold a null or non-finite number take no part.
     """
+    sound = F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    asked, rows = asked.where(sound), rows.where(sound)
     sizes = asked.agg(F.count("*")).first()[0], rows.agg(F.count("*")).first()[0]
     across, down = (max(1, -(-n // block)) for n in sizes)
     down = max(down, min(sizes[1], rows.sparkSession.sparkContext.defaultParallelism))

@@ -29,11 +29,10 @@ def wilcoxon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inference.wilcoxon(pairs(spark, sf_dir), "a", "b").select("n", F.round("w_plus", 1).alias("w_plus"), F.round("z", 6).alias("z"))
 
 
-@plan("sign_test", f"""WITH p AS ({PAIRS} WHERE a.l_orderkey < 1000), s AS (SELECT count(*) FILTER (a > b) AS wins, count(*) FILTER (a <> b) AS n FROM p)
+@plan("sign_test", f"""WITH p AS ({PAIRS}), s AS (SELECT count(*) FILTER (a > b) AS wins, count(*) FILTER (a <> b) AS n FROM p)
 SELECT wins, n, round(least(1.0::DOUBLE, 2 * (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))) FROM range(0, 100000) x(i) WHERE i <= least(wins, n - wins))), 6) AS p FROM s""")
 def sign_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first thousand orders' pairs: a fixed report period."""
-    return inference.sign_test(pairs(spark, sf_dir).where("k < 1000"), "a", "b").select("wins", "n", F.round("p", 6).alias("p"))
+    return inference.sign_test(pairs(spark, sf_dir), "a", "b").select("wins", "n", F.round("p", 6).alias("p"))
 
 
 @plan("mcnemar_exact", """WITH s AS (SELECT count(*) FILTER (quality = 1 AND toxic = 0) AS only_a, count(*) FILTER (quality = 0 AND toxic = 1) AS only_b FROM labels)

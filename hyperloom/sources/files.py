@@ -17,16 +17,22 @@ CONSTRAINTS = [f"CREATE CONSTRAINT {name} IF NOT EXISTS FOR ({v}:{label}) REQUIR
 ]
 
 
+#: Stands for a comma inside quotes; a code point that is no character and so is in no text.
+HIDDEN = "\ufdd0"
+
+
 def labelled_lines(lines: DataFrame, value: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """keep, text, label, figurative from CSV rows of an id, a text and a last column of 0, 1 or 2.
 
     Rows whose text holds commas without quotes are put together again; rows with any other label, and headers, are dropped.
     """
-    cells = F.split(F.col(value), ",(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)", -1)
+    # parts between quotes are inside where their number is odd, also for doubled quotes; their commas are hidden while cells are cut
+    hidden = F.transform(F.split(F.col(value), '"', -1), lambda p, i: F.when(i % 2 == 1, F.translate(p, ",", HIDDEN)).otherwise(p))
+    cells = F.split(F.array_join(hidden, '"'), ",", -1)
     n = F.size(cells)
     label = F.element_at(cells, -1).try_cast("int")
     body = F.trim(F.regexp_replace(F.array_join(F.slice(cells, F.lit(2), F.greatest(n - 2, F.lit(0))), ","), '^"|"$', ""))
-    rows = lines.where(n >= 3).select(*keep, F.replace(body, F.lit('""'), F.lit('"')).alias("text"), label.alias("label"))
+    rows = lines.where(n >= 3).select(*keep, F.replace(F.translate(body, HIDDEN, ","), F.lit('""'), F.lit('"')).alias("text"), label.alias("label"))
     return rows.where("label in (0, 1, 2) and text <> ''").withColumn("figurative", F.col("label") > 0)
 
 
