@@ -29,7 +29,7 @@ def _load() -> None:
         import_module(f"hyperloom.plans.{module}")
 
 
-MODULES: tuple[str, ...] = ("relational", "folded", "corpora", "outside", "building", "searching", "testing", "layers", "files", "replies", "wording", "channels", "stored", "upkeep")
+MODULES: tuple[str, ...] = ("relational", "folded", "corpora", "outside", "building", "searching", "testing", "layers", "files", "replies", "wording", "channels", "stored", "upkeep", "pairs")
 
 
 def queries() -> dict[str, Plan]:

@@ -45,6 +45,7 @@ SHARED = {
         FROM (SELECT doc_id, frame_id, count(*) AS n_triggers FROM hit GROUP BY doc_id, frame_id) h
         JOIN frame_spec f ON f.frame_id = h.frame_id LEFT JOIN cascade_member m ON m.frame_id = f.frame_id
         WHERE EXISTS (SELECT 1 FROM type_constraint c WHERE c.source_type = f.source_type AND c.mapping_type = f.mapping_type)""",
+    "beside": "SELECT e.*, e.doc_id + o.o AS spot FROM edge e CROSS JOIN (SELECT -2 AS o UNION ALL SELECT -1 UNION ALL SELECT 0 UNION ALL SELECT 1 UNION ALL SELECT 2) o",  # edges that lie at most two documents from a spot
     "word": "@WORDS@",
     "incidence": "SELECT DISTINCT l_orderkey AS edge, l_partkey AS node FROM lineitem",
     "q_frame": "SELECT DISTINCT q.query_id, t.frame_id FROM query_set q JOIN frame_trigger t ON contains(q.query_text, t.trigger)",

@@ -44,8 +44,8 @@ TEXTS: dict[str, str] = {
     "edge_dedup": "SELECT doc_id, source_type, edge_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, source_type ORDER BY ord) AS r FROM edge) x WHERE r = 1",
     "confusion_p1": "SELECT tp, fp, fn, tn, round(tp / nullif(tp + fp, 0), 6) AS p, round(tp / nullif(tp + fn, 0), 6) AS r, round(fp / nullif(fp + tn, 0), 6) AS p1 FROM (SELECT count(*) FILTER (WHERE y = 1 AND e) AS tp, count(*) FILTER (WHERE y = 0 AND e) AS fp, count(*) FILTER (WHERE y = 1 AND NOT e) AS fn, count(*) FILTER (WHERE y = 0 AND NOT e) AS tn FROM (SELECT l.quality AS y, x.doc_id IS NOT NULL AS e FROM labels l LEFT JOIN (SELECT DISTINCT doc_id FROM edge WHERE n_triggers > 1) x ON x.doc_id = l.doc_id) z) w",
     # linking
-    "chain_pairs": "SELECT a.edge_id AS a, b.edge_id AS b FROM edge a JOIN edge b ON a.frame_id = b.frame_id AND floor(a.doc_id / 10) = floor(b.doc_id / 10) AND a.doc_id <> b.doc_id AND abs(a.doc_id - b.doc_id) < 3 WHERE a.n_ground >= 1",
-    "span_gap": "SELECT a.edge_id AS a, b.edge_id AS b, min(abs(a.doc_id - b.doc_id)) AS gap FROM edge a JOIN edge b ON a.cascade_id = b.cascade_id AND floor(a.doc_id / 10) = floor(b.doc_id / 10) AND a.edge_id < b.edge_id GROUP BY a.edge_id, b.edge_id",
+    "chain_pairs": "SELECT a.edge_id AS a, b.edge_id AS b FROM edge a JOIN beside b ON a.frame_id = b.frame_id AND a.doc_id = b.spot AND a.doc_id <> b.doc_id WHERE a.n_ground >= 1",
+    "span_gap": "SELECT a.edge_id AS a, b.edge_id AS b, min(abs(a.doc_id - b.doc_id)) AS gap FROM edge a JOIN beside b ON a.cascade_id = b.cascade_id AND a.doc_id = b.spot AND a.edge_id < b.edge_id GROUP BY a.edge_id, b.edge_id",
     "frames_l2": "SELECT frame_id, count(*) AS n_members, min(edge_id) AS first_member FROM edge GROUP BY frame_id",
     "cascades_l3": "SELECT m.cascade_id, count(DISTINCT e.frame_id) AS n_frames, count(e.edge_id) AS n_edges FROM cascade_member m JOIN edge e ON e.frame_id = m.frame_id GROUP BY m.cascade_id",
     "orphan_cascades": "SELECT 'C_ADHOC_' || substr(md5(source_domain), 1, 8) AS cascade_id, @JOINED(frame_id)@ AS members FROM frame_spec f WHERE NOT EXISTS (SELECT 1 FROM cascade_member m WHERE m.frame_id = f.frame_id) GROUP BY source_domain",
@@ -65,8 +65,8 @@ TEXTS: dict[str, str] = {
     "multi_clue": "SELECT target_domain, round(sum(confidence), 6) AS clue FROM edge e JOIN frame_trigger t ON t.frame_id = e.frame_id GROUP BY target_domain HAVING sum(confidence) >= 2 * 0.35E0",
     "rrf": "SELECT query_id, doc_id, round(sum(1E0 / (60 + rank)), 6) AS fused FROM (SELECT query_id, doc_id, rank FROM lap WHERE rank <= 50 UNION ALL SELECT q.query_id, d.doc_id, row_number() OVER (PARTITION BY q.query_id ORDER BY d.doc_id) FROM query_set q JOIN documents d ON contains(d.text, q.query_text)) x GROUP BY query_id, doc_id",
     "reliability": "SELECT edge_id, 0.5E0 + 0.5E0 * least(confidence, CASE WHEN registered = 1 THEN 1E0 ELSE 0.5E0 END) AS factor FROM (SELECT e.edge_id, e.confidence, CASE WHEN f.support >= 2 THEN 1 ELSE 0 END AS registered FROM edge e JOIN frame_spec f ON f.frame_id = e.frame_id) x",
-    "pair_features": "SELECT a.edge_id AS q, b.edge_id AS c, CASE WHEN a.source_domain = b.source_domain THEN 1 ELSE 0 END AS same_source, CASE WHEN a.target_domain = b.target_domain THEN 1 ELSE 0 END AS same_target, CASE WHEN a.frame_id = b.frame_id THEN 1 ELSE 0 END AS same_frame, CASE WHEN a.cascade_id = b.cascade_id THEN 1 ELSE 0 END AS same_cascade, round(ln(1 + a.n_ground), 6) AS ground_log, b.confidence FROM edge a JOIN edge b ON floor(a.doc_id / 10) = floor(b.doc_id / 10) AND a.edge_id <> b.edge_id",
-    "hand_score": "SELECT q, c, round(0.4E0 * same_frame + 0.3E0 * same_cascade + 0.2E0 * same_target + 0.1E0 * same_source, 4) AS score FROM (SELECT a.edge_id AS q, b.edge_id AS c, CASE WHEN a.source_domain = b.source_domain THEN 1 ELSE 0 END AS same_source, CASE WHEN a.target_domain = b.target_domain THEN 1 ELSE 0 END AS same_target, CASE WHEN a.frame_id = b.frame_id THEN 1 ELSE 0 END AS same_frame, CASE WHEN a.cascade_id = b.cascade_id THEN 1 ELSE 0 END AS same_cascade FROM edge a JOIN edge b ON floor(a.doc_id / 10) = floor(b.doc_id / 10) AND a.edge_id <> b.edge_id) x",
+    "pair_features": "SELECT a.edge_id AS q, b.edge_id AS c, CASE WHEN a.source_domain = b.source_domain THEN 1 ELSE 0 END AS same_source, CASE WHEN a.target_domain = b.target_domain THEN 1 ELSE 0 END AS same_target, CASE WHEN a.frame_id = b.frame_id THEN 1 ELSE 0 END AS same_frame, CASE WHEN a.cascade_id = b.cascade_id THEN 1 ELSE 0 END AS same_cascade, round(ln(1 + a.n_ground), 6) AS ground_log, b.confidence FROM edge a JOIN beside b ON a.doc_id = b.spot AND a.edge_id <> b.edge_id",
+    "hand_score": "SELECT q, c, round(0.4E0 * same_frame + 0.3E0 * same_cascade + 0.2E0 * same_target + 0.1E0 * same_source, 4) AS score FROM (SELECT a.edge_id AS q, b.edge_id AS c, CASE WHEN a.source_domain = b.source_domain THEN 1 ELSE 0 END AS same_source, CASE WHEN a.target_domain = b.target_domain THEN 1 ELSE 0 END AS same_target, CASE WHEN a.frame_id = b.frame_id THEN 1 ELSE 0 END AS same_frame, CASE WHEN a.cascade_id = b.cascade_id THEN 1 ELSE 0 END AS same_cascade FROM edge a JOIN beside b ON a.doc_id = b.spot AND a.edge_id <> b.edge_id) x",
     "u_retrieval": "SELECT query_id, doc_id, score FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM (SELECT q.query_id, e.doc_id, round(sum(CASE WHEN contains(q.query_text, e.target_domain) THEN 0.5E0 ELSE 0E0 END + CASE WHEN contains(q.query_text, e.source_domain) THEN 0.3E0 ELSE 0E0 END), 6) AS score FROM query_set q JOIN edge e ON contains(q.query_text, e.target_domain) OR contains(q.query_text, e.source_domain) GROUP BY q.query_id, e.doc_id) x) y WHERE r <= 60",
     "pathways": "SELECT query_id, path, count(*) AS n, min(doc_id) AS first_doc FROM (SELECT query_id, doc_id, 'cascade' AS path FROM lap UNION ALL SELECT q.query_id, d.doc_id, 'literal' FROM query_set q JOIN documents d ON contains(d.text, q.query_text)) x GROUP BY query_id, path",
     # signals
@@ -82,7 +82,6 @@ TEXTS: dict[str, str] = {
     "source_rollup": "SELECT coalesce(source, 'TOTAL') AS source, count(*) AS n_docs, sum(n_chars) AS n_chars FROM documents GROUP BY ROLLUP(source)",
     "holdout_split": "SELECT CASE WHEN floor(doc_id / 10) % 2 = 0 THEN 'tune' ELSE 'report' END AS part, count(*) AS n FROM documents GROUP BY CASE WHEN floor(doc_id / 10) % 2 = 0 THEN 'tune' ELSE 'report' END",
     # learning and statistics
-    "train_pairs": "SELECT doc_id, edge_id, label FROM (SELECT p.doc_id, n.edge_id, CASE WHEN n.doc_id = p.doc_id THEN 1 ELSE 0 END AS label, row_number() OVER (PARTITION BY p.doc_id, p.edge_id, CASE WHEN n.doc_id = p.doc_id THEN 1 ELSE 0 END ORDER BY md5(concat('7|', p.edge_id, '|', n.edge_id)), n.edge_id) AS r FROM edge p JOIN edge n ON n.frame_id = p.frame_id AND floor(p.doc_id / 50) = floor(n.doc_id / 50) AND (n.doc_id <> p.doc_id OR n.edge_id = p.edge_id)) x WHERE r <= 3",
     "avg_rank": "SELECT doc_id, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2E0 AS r FROM documents",
     "feature_auc": "SELECT round((sum(CASE WHEN y = 1 THEN r ELSE 0 END) - np * (np + 1) / 2E0) / (np * nn), 6) AS auc FROM (SELECT y, r, sum(y) OVER () AS np, sum(1 - y) OVER () AS nn FROM (SELECT l.quality AS y, rank() OVER (ORDER BY d.n_chars) + (count(*) OVER (PARTITION BY d.n_chars) - 1) / 2E0 AS r FROM labels l JOIN documents d ON d.doc_id = l.doc_id) x) z GROUP BY np, nn",
     "separators": "SELECT quality, min(n_chars) AS lo, max(n_chars) AS hi FROM labels l JOIN documents d ON d.doc_id = l.doc_id GROUP BY quality",

@@ -41,14 +41,14 @@ def red_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replies.within_red_line(rows, "text", "banned").select("item_id")
 
 
-@plan("complete_judgements", """WITH q AS (SELECT DISTINCT user_id FROM events), c AS (SELECT DISTINCT event_type FROM events), a AS (SELECT user_id, event_type, max(CASE WHEN value > 10 THEN 1 ELSE 0 END)::INTEGER AS v FROM events WHERE event_id % 29 = 0 GROUP BY ALL),
+@plan("complete_judgements", """WITH q AS (SELECT DISTINCT user_id FROM events), c AS (SELECT DISTINCT event_type FROM events), a AS (SELECT user_id, event_type, max(CASE WHEN value > 200 THEN 1 ELSE 0 END)::INTEGER AS v FROM events WHERE value > 150 GROUP BY ALL),
 r AS (SELECT q.user_id, c.event_type, a.v, count(*) OVER (PARTITION BY q.user_id) AS n, count(a.v) OVER (PARTITION BY q.user_id) AS got FROM q CROSS JOIN c LEFT JOIN a ON a.user_id = q.user_id AND a.event_type = c.event_type)
 SELECT user_id, event_type, coalesce(v, 0)::INTEGER AS v FROM r WHERE 2 * (n - got) <= n""")
 def complete_judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users as questions, event types as candidates (a handful), some events as a judge's answers."""
+    """Users as questions, event types as candidates (a handful), events of a high value as a judge's answers."""
     e = read(spark, sf_dir, "events")
     asked = e.select("user_id").distinct().join(F.broadcast(e.select("event_type").distinct()))  # a handful of types
-    answers = e.where("event_id % 29 = 0").groupBy("user_id", "event_type").agg(F.max((F.col("value") > 10).cast("int")).alias("v"))
+    answers = e.where("value > 150").groupBy("user_id", "event_type").agg(F.max((F.col("value") > 200).cast("int")).alias("v"))
     return replies.complete_judgements(asked, answers, "user_id", "event_type", "v")
 
 

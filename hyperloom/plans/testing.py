@@ -73,10 +73,11 @@ def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan("size_matched_null")
 def size_matched_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event types stand in for domains: a user's set against the types of the user's last event."""
+    """Event types stand in for domains: each user's set against the type its group of users spends most on."""
     events = read(spark, sf_dir, "events")
-    sets = events.groupBy(F.col("user_id").alias("row_id"), (F.col("user_id") % 10).alias("doc_id")).agg(F.collect_set(F.when(F.col("value") > 20, F.col("event_type"))).alias("domains"))
-    live = events.where("event_id < 20").select((F.col("user_id") % 10).alias("doc_id"), F.col("event_type").alias("domain"))
+    sets = events.groupBy(F.col("user_id").alias("row_id"), (F.col("user_id") % 10).alias("doc_id")).agg(F.collect_set(F.when(F.col("value") > 150, F.col("event_type"))).alias("domains"))
+    spent = events.groupBy((F.col("user_id") % 10).alias("doc_id"), "event_type").agg(F.sum("value").alias("spent"))
+    live = spent.groupBy("doc_id").agg(F.max_by("event_type", F.struct("spent", "event_type")).alias("domain"))
     return inference.size_matched_null(sets, events.select(F.col("event_type").alias("domain")), live)
 
 
