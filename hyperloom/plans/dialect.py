@@ -46,6 +46,19 @@ SHARED = {
         JOIN frame_spec f ON f.frame_id = h.frame_id LEFT JOIN cascade_member m ON m.frame_id = f.frame_id
         WHERE EXISTS (SELECT 1 FROM type_constraint c WHERE c.source_type = f.source_type AND c.mapping_type = f.mapping_type)""",
     "beside": "SELECT e.*, e.doc_id + o.o AS spot FROM edge e CROSS JOIN (SELECT -2 AS o UNION ALL SELECT -1 UNION ALL SELECT 0 UNION ALL SELECT 1 UNION ALL SELECT 2) o",  # edges that lie at most two documents from a spot
+    # an ontology that grows with the documents: a frame for each pair of first words, with the words behind them as grounds and triggers
+    "wide_pair": "SELECT * FROM (SELECT doc_id, lang, source, split_part(text, ' ', 1) AS s, split_part(text, ' ', 2) AS t, split_part(text, ' ', 3) AS g1, split_part(text, ' ', 4) AS g2, split_part(text, ' ', 5) AS w1, split_part(text, ' ', 6) AS w2 FROM documents WHERE text IS NOT NULL) x WHERE s <> '' AND t <> ''",
+    "wide_spec": """SELECT concat('F_', substr(md5(concat(s, '||', t)), 1, 16)) AS frame_id, min(doc_id) AS ord, s AS source_domain, t AS target_domain, CASE min(lang) WHEN 'en' THEN 'structural' WHEN 'de' THEN 'ontological' ELSE 'orientational' END AS mapping_type,
+        CASE min(lang) WHEN 'en' THEN 'FLUID' WHEN 'de' THEN 'BODY' WHEN 'fr' THEN 'PATH' ELSE 'GENERIC' END AS source_type, count(*) AS support FROM wide_pair GROUP BY s, t""",
+    "wide_word": "SELECT concat('F_', substr(md5(concat(s, '||', t)), 1, 16)) AS frame_id, g1, g2, w1, w2, lang, source FROM wide_pair",
+    "wide_trigger": "SELECT frame_id, w1 AS trigger FROM wide_word WHERE w1 <> '' UNION SELECT frame_id, w2 FROM wide_word WHERE w2 <> ''",
+    "wide_ground": "SELECT DISTINCT concat(coalesce(lang, ''), '/', coalesce(source, '')) AS frame_id, g1 AS ground FROM wide_word WHERE g1 <> ''",
+    "wide_member": "SELECT concat(CASE WHEN substr(md5(target_domain), 1, 1) < '8' THEN 'C_LLM_' ELSE 'C_' END, target_domain) AS cascade_id, frame_id, ord FROM wide_spec WHERE source_type <> 'GENERIC'",
+    "wide_asked": "SELECT g1 AS s, g2 AS t, count(*) AS n FROM wide_pair WHERE g1 <> '' AND g2 <> '' GROUP BY g1, g2",
+    "wide_q_word": "SELECT item_id AS query_id, split_part(text, ' ', 1) AS word FROM benchmark UNION SELECT item_id, split_part(text, ' ', 2) FROM benchmark UNION SELECT item_id, split_part(text, ' ', 3) FROM benchmark UNION SELECT item_id, split_part(text, ' ', 4) FROM benchmark",
+    "wide_q_frame": "SELECT DISTINCT q.query_id, t.frame_id FROM wide_q_word q JOIN wide_trigger t ON t.trigger = q.word",
+    "wide_q_reach": """SELECT DISTINCT x.query_id, d.domain FROM (SELECT query_id, frame_id FROM wide_q_frame UNION SELECT c.query_id, m.frame_id FROM (SELECT DISTINCT q.query_id, m.cascade_id FROM wide_q_frame q JOIN wide_member m ON m.frame_id = q.frame_id) c JOIN wide_member m ON m.cascade_id = c.cascade_id) x
+        JOIN (SELECT frame_id, target_domain AS domain FROM wide_spec UNION SELECT frame_id, source_domain FROM wide_spec) d ON d.frame_id = x.frame_id""",
     "word": "@WORDS@",
     "incidence": "SELECT DISTINCT l_orderkey AS edge, l_partkey AS node FROM lineitem",
     "q_frame": "SELECT DISTINCT q.query_id, t.frame_id FROM query_set q JOIN frame_trigger t ON contains(q.query_text, t.trigger)",

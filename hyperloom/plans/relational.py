@@ -11,32 +11,32 @@ TEXTS: dict[str, str] = {
     "coverage_completeness": "SELECT d.doc_id, round(least(sum(length(d.text) - length(replace(d.text, t.trigger, ''))), length(d.text)) / length(d.text), 6) AS completeness, sum((length(d.text) - length(replace(d.text, t.trigger, ''))) / length(t.trigger)) AS n_found FROM documents d JOIN frame_trigger t ON contains(d.text, t.trigger) GROUP BY d.doc_id, d.text",
     "hash_bucket": "SELECT word, count(*) AS n, @HEX(word;30;3)@ % 512 AS bucket FROM word GROUP BY word",
     "signed_embed": "SELECT doc_id, sqrt(sum(v * v)) AS norm, count(*) AS n_buckets FROM (SELECT doc_id, bucket, sum(s) AS v FROM (SELECT doc_id, @HEX(word;30;3)@ % 512 AS bucket, CASE WHEN substr(md5(word), 17, 1) >= '8' THEN 1 ELSE -1 END AS s FROM word) w GROUP BY doc_id, bucket) b GROUP BY doc_id",
-    "infer_type": "SELECT frame_id, CASE WHEN source_domain LIKE '%of%' THEN 'FLUID' WHEN source_domain LIKE '%to%' OR source_domain LIKE '%is%' THEN 'PATH' WHEN source_domain LIKE '%der%' THEN 'BODY' ELSE 'GENERIC' END AS inferred, source_type FROM frame_spec",
-    "type_coherence": "SELECT frame_id, inferred, source_type, (inferred = source_type OR inferred = 'GENERIC' OR source_type = 'GENERIC') AS coherent FROM (SELECT frame_id, source_type, CASE WHEN source_domain LIKE '%of%' THEN 'FLUID' WHEN source_domain LIKE '%to%' OR source_domain LIKE '%is%' THEN 'PATH' WHEN source_domain LIKE '%der%' THEN 'BODY' ELSE 'GENERIC' END AS inferred FROM frame_spec) x",
+    "infer_type": "SELECT frame_id, CASE WHEN source_domain LIKE '%of%' THEN 'FLUID' WHEN source_domain LIKE '%to%' OR source_domain LIKE '%is%' THEN 'PATH' WHEN source_domain LIKE '%der%' THEN 'BODY' ELSE 'GENERIC' END AS inferred, source_type FROM wide_spec",
+    "type_coherence": "SELECT frame_id, inferred, source_type, (inferred = source_type OR inferred = 'GENERIC' OR source_type = 'GENERIC') AS coherent FROM (SELECT frame_id, source_type, CASE WHEN source_domain LIKE '%of%' THEN 'FLUID' WHEN source_domain LIKE '%to%' OR source_domain LIKE '%is%' THEN 'PATH' WHEN source_domain LIKE '%der%' THEN 'BODY' ELSE 'GENERIC' END AS inferred FROM wide_spec) x",
     "sentiment": "SELECT doc_id, CASE WHEN contains(text, 'loser') OR contains(text, 'idiot') THEN 'anxious' WHEN contains(text, 'the') OR contains(text, 'der') THEN 'warm' ELSE 'none' END AS mood FROM documents",
-    "stable_ids": "SELECT frame_id, 'F_LLM_' || substr(md5(concat(source_domain, '||', target_domain)), 1, 8) AS sid FROM frame_spec",
+    "stable_ids": "SELECT frame_id, 'F_LLM_' || substr(md5(concat(source_domain, '||', target_domain)), 1, 8) AS sid FROM wide_spec",
     "escape_text": "SELECT item_id, replace(replace(text, chr(92), chr(92) || chr(92)), chr(39), chr(92) || chr(39)) AS escaped FROM benchmark",
     "dominant_field": "SELECT doc_id, field, n FROM (SELECT doc_id, field, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first_pos, field) AS r FROM (SELECT w.doc_id, f.source_type AS field, count(*) AS n, min(w.pos) AS first_pos FROM word w JOIN frame_trigger t ON w.word = t.trigger JOIN frame_spec f ON f.frame_id = t.frame_id GROUP BY w.doc_id, f.source_type) x) y WHERE r = 1",
     "marker_window": "SELECT doc_id, pos, near FROM (SELECT doc_id, pos, word, max(CASE WHEN word IN ('the', 'der', 'que', 'le') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM word) x WHERE word IN ('was', 'und', 'los', 'de')",
     "mipvu_candidates": "SELECT doc_id, frame_id, min(pos) AS pos, CASE WHEN max(near) = 1 THEN 0.5E0 ELSE 0.45E0 END AS confidence FROM (SELECT w.doc_id, t.frame_id, w.pos, w.near, count(*) OVER (PARTITION BY w.doc_id, t.frame_id) AS same FROM (SELECT doc_id, pos, word, max(CASE WHEN word IN ('the', 'der', 'que', 'le') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM word) w JOIN frame_trigger t ON w.word = t.trigger JOIN cascade_member m ON m.frame_id = t.frame_id) x WHERE same < 2 AND near = 1 GROUP BY doc_id, frame_id",
-    "set_similarity": "SELECT a, b, CASE WHEN n_a + n_b = n_both THEN 0E0 ELSE round(n_both / (n_a + n_b - n_both), 6) END AS jaccard FROM (SELECT x.frame_id AS a, y.frame_id AS b, (SELECT count(*) FROM frame_ground g JOIN frame_ground h ON g.ground = h.ground WHERE g.frame_id = x.frame_id AND h.frame_id = y.frame_id) AS n_both, (SELECT count(*) FROM frame_ground g WHERE g.frame_id = x.frame_id) AS n_a, (SELECT count(*) FROM frame_ground g WHERE g.frame_id = y.frame_id) AS n_b FROM frame_spec x JOIN frame_spec y ON x.frame_id < y.frame_id) z",
+    "set_similarity": "SELECT a, b, CASE WHEN n_a + n_b = n_both THEN 0E0 ELSE round(n_both / (n_a + n_b - n_both), 6) END AS jaccard FROM (SELECT x.frame_id AS a, y.frame_id AS b, (SELECT count(*) FROM wide_ground g JOIN wide_ground h ON g.ground = h.ground WHERE g.frame_id = x.frame_id AND h.frame_id = y.frame_id) AS n_both, (SELECT count(*) FROM wide_ground g WHERE g.frame_id = x.frame_id) AS n_a, (SELECT count(*) FROM wide_ground g WHERE g.frame_id = y.frame_id) AS n_b FROM (SELECT DISTINCT frame_id FROM wide_ground) x JOIN (SELECT DISTINCT frame_id FROM wide_ground) y ON x.frame_id < y.frame_id) z",
     # ontology
     "frame_rank": "SELECT doc_id, frame_id, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, ord) AS rank FROM (SELECT h.doc_id, h.frame_id, count(*) AS n, min(f.ord) AS ord FROM hit h JOIN frame_spec f ON f.frame_id = h.frame_id GROUP BY h.doc_id, h.frame_id) x",
-    "frame_cascade": "SELECT f.frame_id, m.cascade_id FROM frame_spec f LEFT JOIN cascade_member m ON m.frame_id = f.frame_id",
-    "match_frame": "SELECT s, t, frame_id FROM (SELECT p.s, p.t, f.frame_id, row_number() OVER (PARTITION BY p.s, p.t ORDER BY CASE WHEN f.target_domain = p.t THEN 0 ELSE 1 END, f.ord) AS r FROM (VALUES ('to', 'was'), ('to', 'tion'), ('der', 'x'), ('none', 'was')) AS p(s, t) LEFT JOIN frame_spec f ON f.source_domain = p.s) x WHERE r = 1",
-    "fuzzy_bind": "SELECT s, t, frame_id FROM (SELECT p.s, p.t, f.frame_id, row_number() OVER (PARTITION BY p.s, p.t ORDER BY length(f.source_domain) + CASE WHEN contains(p.t, f.target_domain) OR contains(f.target_domain, p.t) THEN length(f.target_domain) ELSE 0 END DESC, f.ord) AS r FROM (VALUES ('of the sea', 'motion'), ('into', 'was'), ('under', 'und so'), ('zzz', 'was')) AS p(s, t) JOIN frame_spec f ON contains(p.s, f.source_domain) OR contains(f.source_domain, p.s)) x WHERE r = 1",
-    "bind_cascade": "SELECT p.s, p.t, coalesce(e.frame_id, o.frame_id, 'F_LLM_' || substr(md5(concat(p.s, '|', p.t)), 1, 8)) AS frame_id FROM (VALUES ('to', 'was'), ('der', 'x'), ('none', 'was')) AS p(s, t) LEFT JOIN frame_spec e ON e.source_domain = p.s AND e.target_domain = p.t LEFT JOIN (SELECT source_domain, min_by(frame_id, ord) AS frame_id FROM frame_spec GROUP BY source_domain) o ON o.source_domain = p.s",
-    "cascade_by_target": "SELECT 'C_TARGET_' || substr(md5(concat('target||', k)), 1, 8) AS cascade_id, k AS name, @JOINED(frame_id)@ AS members FROM (SELECT coalesce(nullif(target_domain, ''), '-') AS k, frame_id FROM frame_spec) x GROUP BY k",
-    "cascade_by_source": "SELECT 'C_SOURCE_' || substr(md5(concat('source||', k)), 1, 8) AS cascade_id, k AS name, @JOINED(frame_id)@ AS members FROM (SELECT coalesce(nullif(source_domain, ''), '-') AS k, frame_id FROM frame_spec) x GROUP BY k",
-    "cascade_by_type": "SELECT 'C_TYPE_' || substr(md5(concat('type||', k)), 1, 8) AS cascade_id, k AS name, @JOINED(frame_id)@ AS members FROM (SELECT coalesce(nullif(source_type, ''), '-') AS k, frame_id FROM frame_spec) x GROUP BY k",
-    "cascade_keep_seeds": "SELECT cascade_id, frame_id FROM cascade_member WHERE cascade_id NOT LIKE 'C_LLM_%' UNION ALL SELECT 'C_NEW_' || substr(md5(target_domain), 1, 8), frame_id FROM frame_spec f WHERE NOT EXISTS (SELECT 1 FROM cascade_member m WHERE m.frame_id = f.frame_id AND m.cascade_id NOT LIKE 'C_LLM_%')",
-    "cascade_stats": "SELECT count(*) AS n_cascades, avg(n) AS mean_size, max(n) AS max_size, @PERCENTILE(n;0.5)@ AS median_size, round(sum(CASE WHEN n = 1 THEN 1 ELSE 0 END) / count(*), 6) AS singleton_rate, round(sum(n) / (SELECT count(*) FROM frame_spec), 6) AS coverage FROM (SELECT cascade_id, count(*) AS n FROM cascade_member GROUP BY cascade_id) x",
-    "ontology_merge": "SELECT frame_id, origin, support FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY prio) AS r FROM (SELECT frame_id, 'base' AS origin, support, 0 AS prio FROM frame_spec UNION ALL SELECT * FROM (VALUES ('F_FLOW', 'new', 9, 1), ('F_NEW', 'new', 2, 1)) AS n(a, b, c, d)) u) x WHERE r = 1",
-    "generic_triggers": "SELECT trigger, n FROM (SELECT t.trigger, count(DISTINCT concat(f.source_domain, '|', f.target_domain)) AS n FROM frame_trigger t JOIN frame_spec f ON f.frame_id = t.frame_id GROUP BY t.trigger) x WHERE length(trigger) >= 2 AND n <= 1",
-    "self_loops_removed": "SELECT frame_id FROM frame_spec WHERE source_domain <> target_domain",
-    "ontology_core": "SELECT f.frame_id, m.cascade_id FROM frame_spec f LEFT JOIN cascade_member m ON m.frame_id = f.frame_id WHERE f.support >= 2",
+    "frame_cascade": "SELECT f.frame_id, m.cascade_id FROM wide_spec f LEFT JOIN wide_member m ON m.frame_id = f.frame_id",
+    "match_frame": "SELECT s, t, frame_id FROM (SELECT p.s, p.t, f.frame_id, row_number() OVER (PARTITION BY p.s, p.t ORDER BY CASE WHEN f.target_domain = p.t THEN 0 ELSE 1 END, f.ord) AS r FROM wide_asked p LEFT JOIN wide_spec f ON f.source_domain = p.s) x WHERE r = 1",
+    "fuzzy_bind": "SELECT s, t, frame_id FROM (SELECT p.s, p.t, f.frame_id, row_number() OVER (PARTITION BY p.s, p.t ORDER BY length(f.source_domain) + CASE WHEN contains(p.t, f.target_domain) OR contains(f.target_domain, p.t) THEN length(f.target_domain) ELSE 0 END DESC, f.ord) AS r FROM (VALUES ('Theirs', 'motion'), ('Onto', 'was'), ('Dermis', 'und so'), ('Quello', 'was'), ('zzz', 'was')) AS p(s, t) JOIN wide_spec f ON contains(p.s, f.source_domain) OR contains(f.source_domain, p.s)) x WHERE r = 1",
+    "bind_cascade": "SELECT p.s, p.t, coalesce(e.frame_id, o.frame_id, 'F_LLM_' || substr(md5(concat(p.s, '|', p.t)), 1, 8)) AS frame_id FROM wide_asked p LEFT JOIN wide_spec e ON e.source_domain = p.s AND e.target_domain = p.t LEFT JOIN (SELECT source_domain, min_by(frame_id, ord) AS frame_id FROM wide_spec GROUP BY source_domain) o ON o.source_domain = p.s",
+    "cascade_by_target": "SELECT 'C_TARGET_' || substr(md5(concat('target||', k)), 1, 8) AS cascade_id, k AS name, @JOINED(frame_id)@ AS members FROM (SELECT coalesce(nullif(target_domain, ''), '-') AS k, frame_id FROM wide_spec) x GROUP BY k",
+    "cascade_by_source": "SELECT 'C_SOURCE_' || substr(md5(concat('source||', k)), 1, 8) AS cascade_id, k AS name, @JOINED(frame_id)@ AS members FROM (SELECT coalesce(nullif(source_domain, ''), '-') AS k, frame_id FROM wide_spec) x GROUP BY k",
+    "cascade_by_type": "SELECT 'C_TYPE_' || substr(md5(concat('type||', k)), 1, 8) AS cascade_id, k AS name, @JOINED(frame_id)@ AS members FROM (SELECT coalesce(nullif(source_type, ''), '-') AS k, frame_id FROM wide_spec) x GROUP BY k",
+    "cascade_keep_seeds": "SELECT cascade_id, frame_id FROM wide_member WHERE cascade_id NOT LIKE 'C_LLM_%' UNION ALL SELECT 'C_NEW_' || substr(md5(target_domain), 1, 8), frame_id FROM wide_spec f WHERE NOT EXISTS (SELECT 1 FROM wide_member m WHERE m.frame_id = f.frame_id AND m.cascade_id NOT LIKE 'C_LLM_%')",
+    "cascade_stats": "SELECT count(*) AS n_cascades, avg(n) AS mean_size, max(n) AS max_size, @PERCENTILE(n;0.5)@ AS median_size, round(sum(CASE WHEN n = 1 THEN 1 ELSE 0 END) / count(*), 6) AS singleton_rate, round(sum(n) / (SELECT count(*) FROM wide_spec), 6) AS coverage FROM (SELECT cascade_id, count(*) AS n FROM wide_member GROUP BY cascade_id) x",
+    "ontology_merge": "SELECT frame_id, origin, support FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY prio) AS r FROM (SELECT frame_id, 'base' AS origin, support, 0 AS prio FROM wide_spec UNION ALL SELECT concat('F_', substr(md5(concat(s, '||', t)), 1, 16)), 'new', n, 1 FROM wide_asked) u) x WHERE r = 1",
+    "generic_triggers": "SELECT trigger, n FROM (SELECT t.trigger, count(DISTINCT concat(f.source_domain, '|', f.target_domain)) AS n FROM wide_trigger t JOIN wide_spec f ON f.frame_id = t.frame_id GROUP BY t.trigger) x WHERE length(trigger) >= 2 AND n <= 1",
+    "self_loops_removed": "SELECT frame_id FROM wide_spec WHERE source_domain <> target_domain",
+    "ontology_core": "SELECT f.frame_id, m.cascade_id FROM wide_spec f LEFT JOIN wide_member m ON m.frame_id = f.frame_id WHERE f.support >= 2",
     # extraction and guards
-    "type_guard": "SELECT f.frame_id FROM frame_spec f WHERE EXISTS (SELECT 1 FROM type_constraint c WHERE c.source_type = f.source_type AND c.mapping_type = f.mapping_type)",
+    "type_guard": "SELECT f.frame_id FROM wide_spec f WHERE EXISTS (SELECT 1 FROM type_constraint c WHERE c.source_type = f.source_type AND c.mapping_type = f.mapping_type)",
     "literal_guard": "SELECT h.doc_id, h.frame_id FROM (SELECT DISTINCT doc_id, frame_id FROM hit) h WHERE NOT EXISTS (SELECT 1 FROM hit x JOIN stop_word s ON x.trigger = s.word JOIN frame_spec f ON f.frame_id = x.frame_id WHERE x.doc_id = h.doc_id AND x.frame_id = h.frame_id AND s.exempt <> f.source_domain)",
     "l1_edges": "SELECT edge_id, doc_id, frame_id, cascade_id, n_triggers, confidence, CASE WHEN n_triggers = 1 THEN 'novel' ELSE 'conventional' END AS novelty FROM edge WHERE confidence >= 0.35",
     "refine_tristate": "SELECT e.edge_id, CASE WHEN l.doc_id IS NULL THEN 'unknown' WHEN l.quality = 1 THEN 'metaphor' ELSE 'rejected' END AS verdict FROM edge e LEFT JOIN labels l ON l.doc_id = e.doc_id",
@@ -48,7 +48,7 @@ TEXTS: dict[str, str] = {
     "span_gap": "SELECT a.edge_id AS a, b.edge_id AS b, min(abs(a.doc_id - b.doc_id)) AS gap FROM edge a JOIN beside b ON a.cascade_id = b.cascade_id AND a.doc_id = b.spot AND a.edge_id < b.edge_id GROUP BY a.edge_id, b.edge_id",
     "frames_l2": "SELECT frame_id, count(*) AS n_members, min(edge_id) AS first_member FROM edge GROUP BY frame_id",
     "cascades_l3": "SELECT m.cascade_id, count(DISTINCT e.frame_id) AS n_frames, count(e.edge_id) AS n_edges FROM cascade_member m JOIN edge e ON e.frame_id = m.frame_id GROUP BY m.cascade_id",
-    "orphan_cascades": "SELECT 'C_ADHOC_' || substr(md5(source_domain), 1, 8) AS cascade_id, @JOINED(frame_id)@ AS members FROM frame_spec f WHERE NOT EXISTS (SELECT 1 FROM cascade_member m WHERE m.frame_id = f.frame_id) GROUP BY source_domain",
+    "orphan_cascades": "SELECT 'C_ADHOC_' || substr(md5(source_domain), 1, 8) AS cascade_id, @JOINED(frame_id)@ AS members FROM wide_spec f WHERE NOT EXISTS (SELECT 1 FROM wide_member m WHERE m.frame_id = f.frame_id) GROUP BY source_domain",
     "cache_counts": "SELECT count(*) FILTER (WHERE l.doc_id IS NOT NULL) AS n_hit, count(*) FILTER (WHERE l.doc_id IS NULL) AS n_miss FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id",
     # graph
     "incidence": "SELECT edge, node FROM incidence",
@@ -70,10 +70,10 @@ TEXTS: dict[str, str] = {
     "u_retrieval": "SELECT query_id, doc_id, score FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM (SELECT q.query_id, e.doc_id, round(sum(CASE WHEN contains(q.query_text, e.target_domain) THEN 0.5E0 ELSE 0E0 END + CASE WHEN contains(q.query_text, e.source_domain) THEN 0.3E0 ELSE 0E0 END), 6) AS score FROM query_set q JOIN edge e ON contains(q.query_text, e.target_domain) OR contains(q.query_text, e.source_domain) GROUP BY q.query_id, e.doc_id) x) y WHERE r <= 60",
     "pathways": "SELECT query_id, path, count(*) AS n, min(doc_id) AS first_doc FROM (SELECT query_id, doc_id, 'cascade' AS path FROM lap UNION ALL SELECT q.query_id, d.doc_id, 'literal' FROM query_set q JOIN documents d ON contains(d.text, q.query_text)) x GROUP BY query_id, path",
     # signals
-    "omega": "SELECT query_id, n_frames, n_emergent, round(exp((ln(greatest(least(1E0, n_frames / 3E0), 0.001E0)) + ln(greatest(least(1E0, n_emergent / 3E0), 0.001E0))) / 2), 6) AS omega FROM (SELECT r.query_id, r.n_emergent, f.n_frames FROM (SELECT query_id, count(*) AS n_emergent FROM q_reach GROUP BY query_id) r JOIN (SELECT query_id, count(*) AS n_frames FROM q_frame GROUP BY query_id) f ON f.query_id = r.query_id) x",
-    "query_signal": "SELECT query_id, n_direct, n_reach, round(ln(1E0 + n_reach) * (1E0 - n_direct / (1E0 + n_reach)), 6) AS signal FROM (SELECT r.query_id, r.n_reach, d.n_direct FROM (SELECT query_id, count(*) AS n_reach FROM q_reach GROUP BY query_id) r JOIN (SELECT q.query_id, count(DISTINCT f.target_domain) AS n_direct FROM q_frame q JOIN frame_spec f ON f.frame_id = q.frame_id GROUP BY q.query_id) d ON d.query_id = r.query_id) x",
-    "new_domains": "SELECT query_id, domain FROM q_reach EXCEPT SELECT q.query_id, f.target_domain FROM q_frame q JOIN frame_spec f ON f.frame_id = q.frame_id",
-    "gate": "SELECT query_id FROM (SELECT query_id, count(*) AS n FROM q_reach GROUP BY query_id) x WHERE n >= 4",
+    "omega": "SELECT query_id, n_frames, n_emergent, round(exp((ln(greatest(least(1E0, n_frames / 3E0), 0.001E0)) + ln(greatest(least(1E0, n_emergent / 3E0), 0.001E0))) / 2), 6) AS omega FROM (SELECT r.query_id, r.n_emergent, f.n_frames FROM (SELECT query_id, count(*) AS n_emergent FROM wide_q_reach GROUP BY query_id) r JOIN (SELECT query_id, count(*) AS n_frames FROM wide_q_frame GROUP BY query_id) f ON f.query_id = r.query_id) x",
+    "query_signal": "SELECT query_id, n_direct, n_reach, round(ln(1E0 + n_reach) * (1E0 - n_direct / (1E0 + n_reach)), 6) AS signal FROM (SELECT r.query_id, r.n_reach, d.n_direct FROM (SELECT query_id, count(*) AS n_reach FROM wide_q_reach GROUP BY query_id) r JOIN (SELECT q.query_id, count(DISTINCT f.target_domain) AS n_direct FROM wide_q_frame q JOIN wide_spec f ON f.frame_id = q.frame_id GROUP BY q.query_id) d ON d.query_id = r.query_id) x",
+    "new_domains": "SELECT query_id, domain FROM wide_q_reach EXCEPT SELECT q.query_id, f.target_domain FROM wide_q_frame q JOIN wide_spec f ON f.frame_id = q.frame_id",
+    "gate": "SELECT query_id FROM (SELECT query_id, count(*) AS n FROM wide_q_reach GROUP BY query_id) x WHERE n >= 4",
     "stratified_z": "SELECT event_id, round((value - avg(value) OVER (PARTITION BY event_type)) / coalesce(nullif(stddev_samp(value) OVER (PARTITION BY event_type), 0), stddev_samp(value) OVER (PARTITION BY 1)), 4) AS z FROM events",
     # evaluation
     "mrr_hits_recall": "SELECT round(avg(rr), 6) AS mrr, round(avg(h10), 6) AS hits10, round(avg(rec), 6) AS recall10 FROM (SELECT l.query_id, coalesce(max(CASE WHEN g.quality = 1 THEN 1E0 / l.rank END), 0E0) AS rr, max(CASE WHEN g.quality = 1 AND l.rank <= 10 THEN 1E0 ELSE 0E0 END) AS h10, sum(CASE WHEN g.quality = 1 AND l.rank <= 10 THEN 1E0 ELSE 0E0 END) / nullif(sum(CASE WHEN g.quality = 1 THEN 1 ELSE 0 END), 0) AS rec FROM lap l LEFT JOIN labels g ON g.doc_id = l.doc_id GROUP BY l.query_id) x",
@@ -89,7 +89,7 @@ TEXTS: dict[str, str] = {
     "pearson": "SELECT round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem",
     "mann_whitney": "SELECT np, nn, round(sum(CASE WHEN y = 1 THEN r ELSE 0 END) - np * (np + 1) / 2E0, 4) AS u FROM (SELECT y, r, sum(y) OVER () AS np, sum(1 - y) OVER () AS nn FROM (SELECT l.toxic AS y, rank() OVER (ORDER BY d.n_chars) + (count(*) OVER (PARTITION BY d.n_chars) - 1) / 2E0 AS r FROM labels l JOIN documents d ON d.doc_id = l.doc_id) x) z GROUP BY np, nn",
     "quantiles": "SELECT event_type, count(*) AS n, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS sd, round(@PERCENTILE(value;0.25)@, 4) AS q25, round(@PERCENTILE(value;0.5)@, 4) AS q50, round(@PERCENTILE(value;0.75)@, 4) AS q75, round(avg(CASE WHEN value = 0 THEN 1E0 ELSE 0E0 END), 6) AS zero_frac FROM events GROUP BY event_type",
-    "holm": "SELECT k, least(1E0, max((m - i + 1) * p) OVER (ORDER BY p, k ROWS UNBOUNDED PRECEDING)) AS adjusted FROM (SELECT k, p, row_number() OVER (ORDER BY p, k) AS i, count(*) OVER () AS m FROM (VALUES ('a', 0.01E0), ('b', 0.04E0), ('c', 0.03E0), ('d', 0.2E0)) AS t(k, p)) x",
+    "holm": "SELECT k, least(1E0, max((m - i + 1) * p) OVER (ORDER BY p, k ROWS UNBOUNDED PRECEDING)) AS adjusted FROM (SELECT k, p, row_number() OVER (ORDER BY p, k) AS i, count(*) OVER () AS m FROM (SELECT l_suppkey AS k, round(avg(l_discount) / 20, 9) AS p FROM lineitem GROUP BY l_suppkey) t) x",
     "mcnemar": "SELECT count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS b, count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS c FROM labels",
     "bootstrap_ci": "SELECT @PERCENTILE(m;0.025)@ AS lo, @PERCENTILE(m;0.975)@ AS hi FROM (SELECT i, round(avg(x.y), 9) AS m FROM (SELECT s.i, d.y FROM @SERIES(2000)@ s CROSS JOIN (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS k FROM labels) p JOIN (SELECT quality AS y, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM labels) d ON d.k = @HEX(concat(s.i, '|', p.k);1;7)@ % (SELECT count(*) FROM labels)) x GROUP BY i) b",
     "permutation_p": "SELECT round((1 + sum(CASE WHEN abs(m) >= abs(t) THEN 1 ELSE 0 END)) / (1E0 + count(*)), 6) AS p FROM (SELECT z.i, avg(CASE WHEN z.y = 1 THEN z.v END) - avg(CASE WHEN z.y = 0 THEN z.v END) AS m FROM (SELECT a.i, a.y, b.v FROM (SELECT s.i, l.toxic AS y, row_number() OVER (PARTITION BY s.i ORDER BY md5(concat(s.i, '|', l.doc_id)), l.doc_id) AS k FROM labels l CROSS JOIN @SERIES(1000)@ s) a JOIN (SELECT d.n_chars AS v, row_number() OVER (ORDER BY l.doc_id) AS k FROM labels l JOIN documents d ON d.doc_id = l.doc_id) b ON a.k = b.k) z GROUP BY z.i) r CROSS JOIN (SELECT avg(CASE WHEN toxic = 1 THEN n_chars END) - avg(CASE WHEN toxic = 0 THEN n_chars END) AS t FROM labels l JOIN documents d ON d.doc_id = l.doc_id) o",
@@ -110,7 +110,7 @@ TEXTS: dict[str, str] = {
     "tpl_cross_domain": "SELECT e.doc_id, e.edge_id, e.confidence FROM (SELECT e.*, row_number() OVER (ORDER BY confidence DESC, edge_id) AS r FROM edge e JOIN cascade_member a ON a.frame_id = e.frame_id WHERE a.cascade_id IN (SELECT m.cascade_id FROM cascade_member m JOIN frame_spec f ON f.frame_id = m.frame_id WHERE f.source_domain = 'to') AND e.target_domain = 'tion') e WHERE r <= 10",
     "tpl_targets": "SELECT target_domain, count(*) AS support FROM edge WHERE source_domain IN ('to', 'of the', 'is') GROUP BY target_domain",
     "tpl_drilldown": "SELECT m.cascade_id, e.frame_id, e.source_domain, e.target_domain, count(*) AS n FROM cascade_member m JOIN edge e ON e.frame_id = m.frame_id GROUP BY m.cascade_id, e.frame_id, e.source_domain, e.target_domain",
-    "tpl_shared_ground": "SELECT x.frame_id AS a, y.frame_id AS b, count(*) AS n FROM frame_ground x JOIN frame_ground y ON x.ground = y.ground AND x.frame_id <> y.frame_id GROUP BY x.frame_id, y.frame_id",
+    "tpl_shared_ground": "SELECT x.frame_id AS a, y.frame_id AS b, count(*) AS n FROM wide_ground x JOIN wide_ground y ON x.ground = y.ground AND x.frame_id <> y.frame_id GROUP BY x.frame_id, y.frame_id",
     "tpl_evidence": "SELECT user_id, count(*) AS support, round(avg(value), 4) AS authority, max(ts) AS latest FROM events GROUP BY user_id",
     # reranking
     "superset_union": "SELECT doc_id, round(0.5E0 * mx + 0.25E0 * mean + 0.25E0 * least(1E0, 20 * rr) + least(0.05E0 * (n - 1), 0.2E0), 5) AS score FROM (SELECT doc_id, max(s) AS mx, avg(s) AS mean, sum(1E0 / (60 + r)) AS rr, count(*) AS n FROM (SELECT doc_id, query_id, rank AS r, CASE WHEN max(score) OVER w - min(score) OVER w < 0.000000001E0 THEN 1E0 / rank ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS s FROM lap WHERE rank <= 50 WINDOW w AS (PARTITION BY query_id)) x GROUP BY doc_id) y",

@@ -9,12 +9,10 @@ from hyperloom.operators import replies
 
 from . import standin as S
 from .catalogue import plan
+from .dialect import duck, run
 from .folded import read
 from .standin import sql
 
-CURATED = [("of the", "tion", "FLOW")]
-WORDS = [("to", "TO"), ("was", "WAS"), ("is", "IS"), ("tion", "NESS")]
-
 
 @plan("reply_json", """SELECT event_id, CASE WHEN event_id % 3 < 2 THEN (props->>'k')::VARCHAR END AS k FROM events""")
 def reply_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,13 +50,18 @@ def complete_judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replies.complete_judgements(asked, answers, "user_id", "event_type", "v")
 
 
-@plan("bilingual_names", sql("""SELECT s.frame_id, CASE WHEN s.source_domain = 'of the' AND s.target_domain = 'tion' THEN 'FLOW' WHEN a.en IS NOT NULL AND b.en IS NOT NULL THEN a.en || ' IS ' || b.en ELSE '' END AS name,
-  CASE WHEN s.source_domain = 'of the' AND s.target_domain = 'tion' THEN 'curated' WHEN a.en IS NOT NULL AND b.en IS NOT NULL THEN 'auto_gloss' ELSE 'unmapped' END AS alignment
-  FROM frame_spec s LEFT JOIN (VALUES ('to', 'TO'), ('was', 'WAS'), ('is', 'IS'), ('tion', 'NESS')) a(word, en) ON a.word = s.source_domain LEFT JOIN (VALUES ('to', 'TO'), ('was', 'WAS'), ('is', 'IS'), ('tion', 'NESS')) b(word, en) ON b.word = s.target_domain"""))
+#: A dictionary of half the first words and all third words, and curated names for pairs that several documents begin with.
+DICTIONARY = "SELECT word, concat('EN:', word) AS en FROM (SELECT g1 AS word FROM wide_pair UNION SELECT s FROM wide_pair WHERE substr(md5(s), 1, 1) < '8') x WHERE word <> ''"
+CURATED = "SELECT source_domain, target_domain, concat(source_domain, '_', target_domain) AS en FROM wide_spec WHERE support >= 2"
+NAMES = f"""SELECT s.frame_id, coalesce(c.en, a.en || ' IS ' || b.en, '') AS name, CASE WHEN c.en IS NOT NULL THEN 'curated' WHEN a.en IS NOT NULL AND b.en IS NOT NULL THEN 'auto_gloss' ELSE 'unmapped' END AS alignment
+  FROM wide_spec s LEFT JOIN ({CURATED}) c ON c.source_domain = s.source_domain AND c.target_domain = s.target_domain LEFT JOIN ({DICTIONARY}) a ON a.word = s.source_domain LEFT JOIN ({DICTIONARY}) b ON b.word = s.target_domain"""
+
+
+@plan("bilingual_names", duck(NAMES))
 def bilingual_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replies.bilingual(S.frames(spark), S.rows_of(spark, CURATED, "source_domain, target_domain, en"), S.rows_of(spark, WORDS, "word, en"))
+    return replies.bilingual(run(spark, sf_dir, "SELECT * FROM wide_spec"), run(spark, sf_dir, CURATED), run(spark, sf_dir, DICTIONARY))
 
 
-@plan("bilingual_coverage", "SELECT * FROM (VALUES ('curated', 1::BIGINT), ('auto_gloss', 2::BIGINT), ('unmapped', 5::BIGINT)) t(alignment, n)")
+@plan("bilingual_coverage", duck(f"SELECT alignment, count(*) AS n FROM ({NAMES}) x GROUP BY alignment"))
 def bilingual_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bilingual_names(spark, sf_dir).groupBy("alignment").agg(F.count("*").alias("n"))
