@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hyperloom.functions.text import verbatim
+
 from .matching import contained
 
 GENERIC = "GENERIC"
@@ -22,7 +24,7 @@ SPANS = "array<struct<start:int,end:int>>"
 
 def occurrences(text: Column, part: Column) -> Column:
     """All non-overlapping places of a string in a text: (start, end), from 0."""
-    between = F.transform(F.split(text, F.concat(F.lit("\\Q"), part, F.lit("\\E")), -1), F.length)
+    between = F.transform(F.split(text, verbatim(part), -1), F.length)
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("found"))
 
     def step(a: Column, gap: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hyperloom.functions.text import verbatim
+
 
 def chain_link(edges: DataFrame, group: list[str], order: str, ground: str, gap: int = 3) -> DataFrame:
     """Per group, the chain of edges in which each is nearer than ``gap`` to the last one accepted and shares ground with it.
@@ -110,7 +112,7 @@ def greedy_groups(frames: DataFrame, frame_id: str, support: str, ground: str, l
 
 def spans_of_trigger(docs: DataFrame, doc_id: str, text: str, trigger: Column) -> DataFrame:
     """All non-overlapping occurrences with their offsets, from the lengths of what lies between them."""
-    between = F.split(F.col(text), F.concat(F.lit("\\Q"), trigger, F.lit("\\E")), -1)
+    between = F.split(F.col(text), verbatim(trigger), -1)
     rows = docs.select(F.col(doc_id), trigger.alias("trigger"), F.posexplode(F.transform(between, F.length)).alias("nth", "chars"), F.size(between).alias("parts"))
     before = Window.partitionBy(doc_id, "trigger").orderBy("nth")
     start = F.sum("chars").over(before) + F.col("nth") * F.length("trigger")

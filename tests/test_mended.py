@@ -1,11 +1,12 @@
 """Cases that once broke: quotes by the thousand, vectors that are null, counts in the hundreds of millions."""
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from hyperloom.operators import inference, search
+from hyperloom.operators import build, inference, search
 from hyperloom.sources import files
 
 
@@ -39,3 +40,11 @@ def test_sign_test_of_very_many(spark):
     k = n // 2 - round(1.5 * math.sqrt(n) / 2)
     got = spark.createDataFrame([(k, n)], "k long, n long").select(inference.two_sided(F.col("k"), F.col("n")).alias("p")).first().p
     assert got == pytest.approx(math.erfc(1.5 / math.sqrt(2)), rel=1e-4)
+
+
+def test_triggers_hold_any_signs(spark):
+    rows = [(i, t, p) for i, (t, p) in enumerate([("a\\Eb\\E c", "\\E"), ("x.*y x.*y", ".*"), ("\\Q\\E\\Q", "\\Q"), ("(a)(a)", "(a)"), ("none", "\\E\\"), ("aaaa", "aa"), ("text", "")])]
+    df = spark.createDataFrame(rows, "i int, t string, p string")
+    got = {r.i: [(s.start, s.end) for s in r.s] for r in df.select("i", build.occurrences(F.col("t"), F.col("p")).alias("s")).collect()}
+    want = {i: [(m.start(), m.end()) for m in re.finditer(re.escape(p), t)] if p else [] for i, t, p in rows}
+    assert got == want
