@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PIECES = 256
+#: Rows up to which a table of a place and a value is broadcast (8 MB).
+SMALL = 500_000
 
 
 def p_normal(z: Column) -> Column:
@@ -176,3 +178,51 @@ def within_rank_correlation(rows: DataFrame, group: str, a: str, b: str) -> Data
     rb = value_ranks(rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()), b, [group]).select(group, b, F.col("rank").alias("rb"))
     both = rows.select(group, a, b).join(ra, [group, a]).join(rb, [group, b])
     return both.groupBy(group).agg(F.count("*").alias("n"), F.corr("ra", "rb").alias("rho"))
+
+
+def numbered(rows: DataFrame, key: str, name: str = "k") -> DataFrame:
+    """rows with their place in the order of ``key``, from 0: numbered within pieces of the keys' range, pieces one after the other, so that no task holds them all."""
+    cuts = rows.agg(F.percentile_approx(key, [i / PIECES for i in range(1, PIECES)])).first()[0] or []
+    piece = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < F.col(key))) if cuts else F.lit(0)
+    rows = rows.withColumn("_piece", piece)
+    upto = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)  # PIECES rows
+    starts = rows.groupBy("_piece").agg(F.count("*").alias("_n")).select("_piece", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_piece").orderBy(key)) - 1
+    return rows.withColumn("_in", inside).join(F.broadcast(starts), "_piece").withColumn(name, F.col("_start") + F.col("_in")).drop("_piece", "_in", "_start")
+
+
+def replicated(rows: DataFrame, runs: int, name: str = "i") -> DataFrame:
+    """Each row once for each run from 1. The rows are dealt out before, as the planner takes them for no more than they were."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism * 4, 32)).withColumn(name, F.explode(F.sequence(F.lit(1), F.lit(runs))))
+
+
+def bootstrap_means(rows: DataFrame, key: str, value: str, runs: int) -> DataFrame:
+    """i, m: the mean of the values drawn in each run. Draw k of run i takes the value in place md5(i|k) modulo the number of rows, in the order of ``key``."""
+    told = numbered(rows.select(key, value), key).select("k", value)
+    n = rows.count()
+    draws = replicated(told.select("k"), runs).select("i", (F.conv(F.substring(F.md5(F.concat_ws("|", "i", "k")), 1, 7), 16, 10).cast("long") % max(n, 1)).alias("k"))
+    # the hints keep the planner, which takes the draws for a few rows, from broadcasting them
+    return draws.join(told.hint("broadcast") if n <= SMALL else told.hint("shuffle_hash"), "k").groupBy("i").agg(F.avg(value).alias("m"))
+
+
+def permuted_differences(rows: DataFrame, values: DataFrame, key: str, label: str, value: str, runs: int) -> DataFrame:
+    """i, m: the difference of the values' means between labels 1 and 0 in each run, in which the rows in the order of md5(i|key) get the values in the order of ``key``.
+
+    Only rows of another label than 0 meet their values; the sums of label 0 are what remains of all.
+    """
+    told = numbered(values.select(key, value), key).select((F.col("k") + 1).alias("k"), value)
+    order = Window.partitionBy("i").orderBy("_h", key)
+    dealt = replicated(rows.select(key, label), runs).select("i", key, label, F.unhex(F.md5(F.concat_ws("|", "i", key))).alias("_h"))
+    dealt = dealt.withColumn("k", F.row_number().over(order).cast("long")).select("i", label, "k")
+    n = values.count()
+    met = dealt.where(~F.col(label).eqNullSafe(F.lit(0))).join(told.hint("broadcast") if n <= SMALL else told.hint("shuffle_hash"), "k")
+    one = F.col(label) == 1
+    known = F.col(value).isNotNull()
+    sums = met.groupBy("i").agg(
+        F.sum(F.when(one, F.col(value))).alias("s1"), F.count(F.when(one, F.col(value))).alias("n1"), F.coalesce(F.sum(value), F.lit(0)).alias("s"), F.count(value).alias("n"),
+    )
+    full = values.agg(F.coalesce(F.sum(F.when(known, F.col(value))), F.lit(0)).alias("all_s"), F.count(value).alias("all_n"))
+    every = rows.sparkSession.range(1, runs + 1).select(F.col("id").cast("int").alias("i")).join(sums, "i", "left").join(F.broadcast(full))  # one row
+    none = lambda c: F.coalesce(c, F.lit(0))
+    mean = lambda s, n: s.cast("double") / F.when(n > 0, n)
+    return every.select("i", (mean(F.col("s1"), F.col("n1")) - mean(F.col("all_s") - none("s"), F.col("all_n") - none("n"))).alias("m"))

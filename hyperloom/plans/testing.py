@@ -9,6 +9,7 @@ from hyperloom.operators import inference
 
 from .catalogue import plan
 from .folded import read
+from .relational import sql_of
 
 #: Each order's first two lines, paired.
 PAIRS = "SELECT a.l_orderkey AS k, a.l_quantity AS a, b.l_quantity AS b, a.l_returnflag AS flag, a.l_partkey AS part FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2"
@@ -97,3 +98,22 @@ def morphology(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = counts.groupBy("user_id").agg(F.sum("n").cast("double").alias("total"), F.sum(F.col("n") * F.col("n")).cast("double").alias("squares"), F.sort_array(F.collect_list("n")).alias("ns"))
     spread = F.aggregate("ns", F.lit(0.0), lambda s, n: s + n * F.log(n.cast("double")))
     return users.select("user_id", F.round(F.col("squares") / (F.col("total") * F.col("total")), 6).alias("hhi"), F.round((F.log("total") - spread / F.col("total")) / F.log(F.lit(2.0)), 6).alias("entropy"))
+
+
+@plan("bootstrap_ci", sql_of("bootstrap_ci"))
+def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The middle 95% of 2,000 resampled means of the quality labels."""
+    means = inference.bootstrap_means(read(spark, sf_dir, "labels"), "doc_id", "quality", 2000).select(F.round("m", 9).alias("m"))
+    return means.agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))
+
+
+@plan("permutation_p", sql_of("permutation_p"))
+def permutation_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxic and other documents by length, against 1,000 permutations."""
+    rows = read(spark, sf_dir, "labels").select("doc_id", "toxic")
+    sized = rows.join(read(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    mean = lambda y: F.avg(F.when(F.col("toxic") == y, F.col("n_chars")))
+    told = sized.agg((mean(1) - mean(0)).alias("t"))
+    runs = inference.permuted_differences(rows, sized.select("doc_id", "n_chars"), "doc_id", "toxic", "n_chars", 1000).join(F.broadcast(told))  # one row
+    beyond = F.sum(F.when(F.abs("m") >= F.abs("t"), 1).otherwise(0))
+    return runs.agg(F.round((1 + beyond) / (1.0 + F.count("*")), 6).alias("p"))

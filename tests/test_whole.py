@@ -105,3 +105,26 @@ def test_resampling_runs_all_replicates(spark):
     share = mean(quality)
     half = 1.96 * math.sqrt(share * (1 - share) / len(quality))
     assert lo == pytest.approx(share - half, abs=0.006) and hi == pytest.approx(share + half, abs=0.006)
+
+
+@pytest.mark.parametrize("name", ["permutation_p", "bootstrap_ci"])
+def test_replicates_are_not_broadcast(spark, name):
+    """The planner took the replicates of a table for as many rows as the table has, and sent them all through the driver."""
+    from hyperloom.plans import catalogue
+
+    df = catalogue.queries()[name](spark, "/root/testdata/sf0.01")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    rows = plan.split("\n")
+    for at, line in enumerate(rows):
+        if "BroadcastExchange" in line:
+            depth = line.index("BroadcastExchange")
+            below = next((j for j in range(at + 1, len(rows)) if rows[j][: depth + 1].strip(" :|+-")), len(rows))
+            assert not any("explode(" in x or "[i#" in x for x in rows[at + 1 : below]), rows[at:below]
+
+
+def test_numbered_equals_a_window_over_all(spark):
+    from hyperloom.operators import inference
+
+    df = spark.range(0, 5000, 1, 7).selectExpr("(id * 7919) % 5003 as x").repartition(5)
+    got = sorted((r.x, r.k) for r in inference.numbered(df, "x").collect())
+    assert [k for _, k in got] == list(range(5000))
