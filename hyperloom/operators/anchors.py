@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from hyperloom.functions.text import cosine
 
+from .vectors import likely
+
 # Fixed values of the scoring.
 THRESHOLD, DISCOUNT = 0.8, 0.7
 SPECIFICITY_FLOOR, RARITY_FLOOR = 0.35, 0.15
@@ -62,13 +64,15 @@ def contacts(pool: DataFrame, rows: DataFrame, seeds: DataFrame, vectors: DataFr
     told = seeds.where("seed is not null").groupBy("query", "seed").agg(F.max(F.coalesce("mass", F.lit(0.0))).alias("mass"))
     known = vectors.where("vector is not null").groupBy("id").agg(F.first("vector").alias("vector"))
     ids, tags = told.select("seed").distinct(), rows.select("tag").distinct()
-    left = ids.join(known.select(F.col("id").alias("seed"), F.col("vector").alias("own")), "seed")
-    right = tags.join(known.select(F.col("id").alias("tag"), F.col("vector").alias("theirs")), "tag")
-    # a stated set of seeds against all tags: each pair of ids once, and only those alike are kept
-    alike = left.join(right, F.col("seed") != F.col("tag")).select("seed", "tag", cosine(F.col("own"), F.col("theirs")).alias("similarity")).where(F.col("similarity") >= threshold)
+    left = ids.join(known.select(F.col("id").alias("seed"), F.col("vector").alias("own")), "seed").select(F.col("seed").alias("a"), "own")
+    right = tags.join(known.select(F.col("id").alias("tag"), F.col("vector").alias("theirs")), "tag").select(F.col("tag").alias("b"), "theirs")
+    # a stated set of seeds against all tags: each pair of ids once in blocks, and only those alike are kept
+    near = likely(left, right, least=threshold).select(F.col("a").alias("seed"), F.col("b").alias("tag"), cosine(F.col("own"), F.col("theirs")).alias("similarity"))
+    alike = near.where(F.col("similarity") >= threshold)
     same = ids.select("seed", F.col("seed").alias("tag"), F.lit(1.0).alias("similarity"), F.lit(True).alias("exact"))
     links = same.unionByName(alike.withColumn("exact", F.lit(False)))
-    met = told.join(links, "seed").join(pool.select("query", "candidate").distinct(), "query").join(rows, ["candidate", "tag"])
+    # the pool meets the curves first: what a query's seeds link to, of which its candidates hold little, is never set against the whole pool
+    met = pool.select("query", "candidate").distinct().join(rows, "candidate").join(told.join(links, "seed"), ["query", "tag"])
     # as a rule the first tag of the seed's own id counts, and the last of those equally similar
     order = F.struct("exact", F.when(F.col("exact"), -F.col("position")).otherwise(F.lit(0)).alias("early"), "similarity", "position", "tag")
     best = met.groupBy("query", "candidate", "seed").agg(F.max_by(F.struct("tag", "exact", "closure", "mass"), order).alias("b"))
