@@ -28,8 +28,7 @@ def dictionary_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plan("trigger_channel", sql("SELECT chunk_id, frame_id, array_to_string(triggers, ',') AS triggers, low::BIGINT AS low, high::BIGINT AS high, round(conf, 6) AS conf FROM one"))
 def trigger_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = build.trigger_channel(S.chunks(spark, sf_dir), S.frames(spark))
-    low, high = F.array_min(F.transform("spans", lambda s: s["start"])), F.array_max(F.transform("spans", lambda s: s["end"]))
-    return rows.select("chunk_id", "frame_id", joined("triggers"), low.cast("long").alias("low"), high.cast("long").alias("high"), F.round("conf", 6).alias("conf"))
+    return rows.select("chunk_id", "frame_id", joined("triggers"), F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high"), F.round("conf", 6).alias("conf"))
 
 
 @plan("field_channel", sql("SELECT chunk_id, frame_id, triggers[1] AS word, low::BIGINT AS low, conf FROM two"))

@@ -136,3 +136,13 @@ def test_bootstrap_draws_pairs(spark):
     mean = sum(d) / len(d)
     half = 1.96 * math.sqrt(sum((x - mean) ** 2 for x in d)) / len(d)
     assert out.difference == pytest.approx(mean) and out.low == pytest.approx(mean - half, abs=0.05) and out.high == pytest.approx(mean + half, abs=0.05)
+
+
+def test_extent_ends_at_the_last_place_also_where_places_overlap(spark):
+    chunks = spark.createDataFrame([("d", "c1", 1, "a thathat b"), ("d", "c2", 2, "that"), ("d", "c3", 3, None)], "doc_id string, chunk_id string, chunk_no int, text string")
+    frames = spark.createDataFrame([("F", ["that"])], "frame_id string, triggers array<string>")
+    got = build.trigger_channel(chunks, frames)
+    rows = {r.chunk_id: (r.low, r.high, [(s.start, s.end) for s in r.spans]) for r in got.collect()}
+    assert rows == {"c1": (2, 9, [(2, 6)]), "c2": (0, 4, [(0, 4)])}
+    lean = got.select("chunk_id", "low", "high")._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in lean  # spans nobody asks for are not looked for
