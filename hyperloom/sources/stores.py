@@ -56,9 +56,36 @@ def floats(blob: Column) -> Column:
 
 
 ARTIFACT = "struct<node_ids:array<bigint>,row_offsets:array<bigint>,targets:array<bigint>,weights:array<double>>"
+FIELDS = ("node_ids", "row_offsets", "targets", "weights")
 LARGEST = 512 * 1024 * 1024
 
 
+def problem_of(text: bool, whole: bool, ids: np.ndarray | None, offsets: np.ndarray | None, targets: np.ndarray | None, weights: np.ndarray | None) -> str | None:
+    """The first thing that is wrong with a graph. An array with nulls comes as one of floats, its nulls as what is no number."""
+    if not text:
+        return "not a gzip text"
+    if not whole:
+        return "checksum differs"
+    if any(v is None for v in (ids, offsets, targets, weights)):
+        return "a field is missing"
+    n = len(ids)
+    if not np.all(ids > 0):
+        return "ids are not positive"
+    if len(np.unique(ids)) != n:
+        return "ids repeat"
+    if len(offsets) != n + 1 or offsets[0] != 0 or offsets[-1] != len(targets):
+        return "offsets do not span the rows"
+    if np.any(offsets[1:] < offsets[:-1]):
+        return "offsets fall"
+    if len(targets) != len(weights):
+        return "targets and weights differ in number"
+    if not np.all((targets >= 0) & (targets < n)):
+        return "a target is out of bounds"
+    if not np.all(np.isfinite(weights.astype("float64")) & (weights.astype("float64") >= 0)):
+        return "a weight is not finite or negative"
+    return None
+
+
 def decoded(artifacts: DataFrame, largest: int = LARGEST) -> DataFrame:
     """artifact_id, graph, problem: gzip-compressed JSON graphs, each with the first problem found or null.
 
@@ -84,32 +111,33 @@ def decoded(artifacts: DataFrame, largest: int = LARGEST) -> DataFrame:
 
     kind = artifacts.schema["artifact_id"].dataType.simpleString()
     rows = artifacts.select("artifact_id", "checksum", "payload").mapInPandas(inflate, f"artifact_id {kind}, checksum string, json string")
-    rows = rows.withColumn("graph", F.from_json("json", ARTIFACT))
-    ids, offsets, targets, weights = (F.col(f"graph.{c}") for c in ("node_ids", "row_offsets", "targets", "weights"))
-    n = F.size(ids)
-    falls = F.exists(F.sequence(F.lit(1), F.greatest(F.size(offsets) - 1, F.lit(1))), lambda i: F.get(offsets, i) < F.get(offsets, i - 1))
-    checks = {
-        "not a gzip text": F.col("json").isNull(),
-        "checksum differs": ~F.sha2(F.col("json").cast("binary"), 256).eqNullSafe(F.col("checksum")),
-        "a field is missing": ids.isNull() | offsets.isNull() | targets.isNull() | weights.isNull(),
-        "ids are not positive": F.exists(ids, lambda v: v.isNull() | (v <= 0)),
-        "ids repeat": F.size(F.array_distinct(ids)) != n,
-        "offsets do not span the rows": (F.size(offsets) != n + 1) | ~F.get(offsets, F.lit(0)).eqNullSafe(F.lit(0)) | ~F.get(offsets, F.size(offsets) - 1).eqNullSafe(F.size(targets).cast("long")),
-        "offsets fall": falls,
-        "targets and weights differ in number": F.size(targets) != F.size(weights),
-        "a target is out of bounds": F.exists(targets, lambda v: v.isNull() | (v < 0) | (v >= n)),
-        "a weight is not finite or negative": F.exists(weights, lambda v: v.isNull() | F.isnan(v) | (v < 0) | (v == F.lit(float("inf")))),
-    }
-    problem = F.coalesce(*[F.when(bad, F.lit(what)) for what, bad in checks.items()])
-    # two projections on purpose: with both columns in one, Spark 4.1.2 gave null for checks that mention the parsed graph within a lambda
-    rows = rows.select("artifact_id", "graph", problem.alias("problem"))
-    return rows.select("artifact_id", F.when(F.col("problem").isNull(), F.col("graph")).alias("graph"), "problem")
+    whole = F.sha2(F.col("json").cast("binary"), 256).eqNullSafe(F.col("checksum"))
+    rows = rows.select("artifact_id", F.col("json").isNotNull().alias("text"), whole.alias("whole"), F.from_json("json", ARTIFACT).alias("graph"))
+
+    def checked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [problem_of(*row) for row in zip(*(frame[c] for c in ("text", "whole", *FIELDS)), strict=True)]
+            yield frame[["artifact_id", *FIELDS]].assign(problem=found)
+
+    # each array goes once through the checks; expressions over the parsed graph parsed it again within their lambdas
+    types = "node_ids array<bigint>, row_offsets array<bigint>, targets array<bigint>, weights array<double>"
+    rows = rows.select("artifact_id", "text", "whole", *[F.col(f"graph.{c}").alias(c) for c in FIELDS])
+    rows = rows.mapInPandas(checked, f"artifact_id {kind}, {types}, problem string")
+    return rows.select("artifact_id", F.when(F.col("problem").isNull(), F.struct(*FIELDS)).alias("graph"), "problem")
 
 
 def arcs(graphs: DataFrame) -> DataFrame:
     """artifact_id, source, target, weight of every stored arc of the graphs without a problem."""
-    g = graphs.where("problem is null")
-    spans = F.transform(F.col("graph.node_ids"), lambda v, i: F.struct(v.alias("source"), F.get("graph.row_offsets", i).alias("a"), F.get("graph.row_offsets", i + 1).alias("b")))
-    rows = g.select("artifact_id", "graph", F.explode(spans).alias("s")).where("s.b > s.a")
-    rows = rows.select("artifact_id", "graph", "s.source", F.explode(F.sequence(F.col("s.a").cast("int"), F.col("s.b").cast("int") - 1)).alias("at"))
-    return rows.select("artifact_id", "source", F.get("graph.node_ids", F.get("graph.targets", F.col("at")).cast("int")).alias("target"), F.get("graph.weights", F.col("at")).alias("weight"))
+    types = graphs.schema["artifact_id"].dataType.simpleString()
+
+    def unpacked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for key, ids, offsets, targets, weights in zip(*(frame[c] for c in ("artifact_id", *FIELDS)), strict=True):
+                source = np.repeat(ids, np.diff(offsets))
+                for at in range(0, len(source), 100_000):
+                    cut = slice(at, at + 100_000)
+                    yield pd.DataFrame({"artifact_id": key, "source": source[cut], "target": ids[targets[cut]], "weight": weights[cut]})
+
+    # a copy of the graph beside each arc would grow with the square of its size
+    g = graphs.where("problem is null").select("artifact_id", *[F.col(f"graph.{c}").alias(c) for c in FIELDS])
+    return g.mapInPandas(unpacked, f"artifact_id {types}, source long, target long, weight double")

@@ -180,3 +180,12 @@ def test_plans(spark, tiny, name):
     order = sorted(df.columns)
     want = con.sql(f"SELECT {', '.join(order)} FROM ({catalogue.oracle_sql()[name]}) x").fetchall()
     assert sorted(map(repr, (tuple(r) for r in df.select(*order).collect()))) == sorted(map(repr, want))
+
+
+def test_arcs_leave_the_graph_behind(spark):
+    """A graph was copied beside each of its arcs."""
+    graph = ([10, 20, 30], [0, 2, 2, 3], [1, 2, 0], [0.5, 1.5, 2.0])
+    kind = "artifact_id long, graph struct<node_ids:array<bigint>,row_offsets:array<bigint>,targets:array<bigint>,weights:array<double>>, problem string"
+    df = stores.arcs(spark.createDataFrame([(1, graph, None), (2, graph, "broken"), (3, ([], [0], [], []), None)], kind))
+    assert sorted(map(tuple, df.collect())) == [(1, 10, 20, 0.5), (1, 10, 30, 1.5), (1, 30, 10, 2.0)]
+    assert "explode(" not in df._jdf.queryExecution().optimizedPlan().toString()
