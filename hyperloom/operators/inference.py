@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 PIECES = 256
 #: Rows up to which a table of a place and a value is broadcast (8 MB).
 SMALL = 500_000
@@ -115,15 +117,37 @@ def draws(key: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
+#: Parts of the range of hashes that a stratum's threshold is sought in.
+PARTS = 128
+
+
 def stratified_permutation(rows: DataFrame, key: str, value: str, positive: str, strata: list[str], replicates: int = 4000, seed: int = 1) -> DataFrame:
-    """auc, p, n: the conditional AUC against labels shuffled within strata. A stratum keeps its number of positives: the smallest hashes of a replicate get them."""
+    """auc, p, n: the conditional AUC against labels shuffled within strata. A stratum keeps its number of positives: the smallest hashes of a replicate get them.
+
+    A value's mean rank in its stratum is the same in all replicates, so a replicate is a sum of ranks over its positives: summed over whole parts of the
+    hashes' range, and row by row only in the part that holds a stratum's threshold. No replicate is sorted.
+    """
     base = rows.select(*strata, F.col(key).alias("k"), F.col(value).alias("v"), F.col(positive).alias("y"), F.lit(1).alias("w"))
     known = _conditional(base, strata, []).select(F.col("auc").alias("observed"))
-    sizes = base.groupBy(*strata).agg(F.sum(F.col("y").cast("long")).alias("n_pos"))
-    each = base.select(*strata, "k", "v", "w").join(sizes, strata).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    order = Window.partitionBy("rep", *strata).orderBy(F.xxhash64("k", "rep", F.lit(seed)), "k")
-    shuffled = each.withColumn("y", F.row_number().over(order) <= F.col("n_pos"))
-    null = _conditional(shuffled.select("rep", *strata, "v", "y", "w"), strata, ["rep"]).where("auc is not null")
+    # one column for the stratum, null ones included; a null value ranks below all
+    named = base.select(F.to_json(F.struct(*strata)).alias("s"), "k", "y", F.coalesce(F.col("v").cast("double"), F.lit(float("-inf"))).alias("v"))
+    ranks = value_ranks(named, "v", ["s"]).select("s", "v", "rank")
+    ranked = cut(named.join(ranks, ["s", "v"]).select("s", "k", "rank"))  # both passes read it
+    sizes = cut(named.groupBy("s").agg(F.coalesce(F.sum(F.col("y").cast("long")), F.lit(0)).alias("n_pos"), F.count("*").alias("size")))
+    h = F.xxhash64("k", "rep", F.lit(seed))
+    part = F.shiftright(h, 64 - (PARTS.bit_length() - 1))
+    sums = replicated(ranked, replicates, "rep").groupBy("rep", "s", part.alias("part")).agg(F.count("*").alias("n"), F.sum("rank").alias("r"))
+    upto = Window.partitionBy("rep", "s").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)  # PARTS rows
+    sums = cut(sums.withColumn("to", F.sum("n").over(upto)).join(sizes, "s").where(F.col("to") - F.col("n") < F.col("n_pos")).select("rep", "s", "part", "r", (F.col("n_pos") - F.col("to") + F.col("n")).alias("need"), (F.col("to") <= F.col("n_pos")).alias("whole")))
+    ends = sums.where("not whole").groupBy("s").agg(F.sort_array(F.collect_list(F.struct("rep", "part", "need"))).alias("ends"))
+    few = sizes.count() * replicates <= SMALL
+    met = ranked.join(ends.hint("broadcast") if few else ends, "s").select("s", "k", "rank", F.explode("ends").alias("e")).select("s", "k", "rank", F.col("e.rep").alias("rep"), "e.part", "e.need")
+    order = Window.partitionBy("rep", "s").orderBy("h", "k")  # one part of PARTS
+    last = met.where(part == F.col("part")).withColumn("h", h).withColumn("nth", F.row_number().over(order)).where("nth <= need")
+    won = sums.where("whole").select("rep", "s", "r").union(last.select("rep", "s", F.col("rank"))).groupBy("rep").agg(F.sum("r").alias("r"))
+    p, q = F.col("n_pos").cast("double"), (F.col("size") - F.col("n_pos")).cast("double")
+    full = sizes.agg(F.sum(p * q).alias("pairs"), F.sum(p * (p + 1) / 2).alias("least"))
+    null = won.join(F.broadcast(full)).where("pairs > 0").select(((F.col("r") - F.col("least")) / F.col("pairs")).alias("auc"))
     sums = null.join(F.broadcast(known)).agg(F.first("observed").alias("auc"), F.count("*").alias("n"), F.sum((F.col("auc") >= F.col("observed")).cast("long")).alias("above"))
     return sums.select("auc", ((F.col("above") + 1) / (F.col("n") + 1)).alias("p"), "n")
 
