@@ -152,6 +152,15 @@ def stratified_permutation(rows: DataFrame, key: str, value: str, positive: str,
     return sums.select("auc", ((F.col("above") + 1) / (F.col("n") + 1)).alias("p"), "n")
 
 
+def stratified_z(rows: DataFrame, value: str, stratum: str) -> DataFrame:
+    """rows with z: a value's distance from the mean of its stratum in deviations of it, of all rows' where the stratum has none. Only sums of strata meet, so no task holds a stratum."""
+    of = cut(rows.groupBy(F.col(stratum).alias("_s")).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_d")))
+    every = rows.agg(F.stddev_samp(value).alias("_all"))
+    met = rows.join(of.hint("broadcast") if of.count() <= SMALL else of, F.col(stratum).eqNullSafe(F.col("_s"))).join(F.broadcast(every))  # one row
+    spread = F.coalesce(F.nullif("_d", F.lit(0.0)), F.col("_all"))
+    return met.withColumn("z", (F.col(value) - F.col("_m")) / F.nullif(spread, F.lit(0.0))).drop("_s", "_m", "_d", "_all")
+
+
 def poisson(u: Column, most: int = 8) -> Column:
     """A Poisson number of mean 1 from a uniform one: how often a bootstrap draws a row."""
     cuts, total, term = [], 0.0, math.exp(-1.0)

@@ -127,7 +127,7 @@ TWINS: dict[str, str] = {
 }
 
 #: Registered in ``testing`` with operators of their own for Spark; the SQL is the one here.
-APART = ("bootstrap_ci", "permutation_p")
+APART = ("bootstrap_ci", "permutation_p", "stratified_z")
 
 
 def sql_of(name: str) -> str:

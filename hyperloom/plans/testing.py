@@ -117,3 +117,9 @@ def permutation_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = inference.permuted_differences(rows, sized.select("doc_id", "n_chars"), "doc_id", "toxic", "n_chars", 1000).join(F.broadcast(told))  # one row
     beyond = F.sum(F.when(F.abs("m") >= F.abs("t"), 1).otherwise(0))
     return runs.agg(F.round((1 + beyond) / (1.0 + F.count("*")), 6).alias("p"))
+
+
+@plan("stratified_z", sql_of("stratified_z"))
+def stratified_z(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by value, against those of their type."""
+    return inference.stratified_z(read(spark, sf_dir, "events"), "value", "event_type").select("event_id", F.round("z", 4).alias("z"))

@@ -1,5 +1,8 @@
 """Replicates that sum over parts of the hashes' range, against every replicate worked out row by row."""
 
+from statistics import mean, stdev
+
+import pytest
 from pyspark.sql import functions as F
 
 from hyperloom.operators import inference
@@ -30,3 +33,17 @@ def test_permutation_gives_each_stratum_its_smallest_hashes(spark):
         above += won(dealt) >= observed
     out = inference.stratified_permutation(df, "k", "v", "y", ["s"], 30).first()
     assert (out.auc, out.n, out.p) == (observed, 30, (above + 1) / 31)
+
+
+def test_stratified_z_sorts_no_stratum(spark):
+    rows = [(i, ("a", "b", None)[i % 3], float(i * 5 % 17)) for i in range(60)] + [(100, "lone", 4.0), (101, "same", 2.0), (102, "same", 2.0), (103, "a", None)]
+    df = spark.createDataFrame(rows, "i int, s string, v double")
+    out = inference.stratified_z(df, "v", "s")
+    assert "Window" not in out._jdf.queryExecution().toString()
+    every = [v for _, _, v in rows if v is not None]
+    want = {}
+    for i, s, v in rows:
+        own = [w for _, t, w in rows if t == s and w is not None]
+        spread = (stdev(own) if len(own) > 1 else 0) or stdev(every)
+        want[i] = None if v is None else pytest.approx((v - mean(own)) / spread)
+    assert {r.i: r.z for r in out.collect()} == want
