@@ -16,18 +16,30 @@ class NotConverged(RuntimeError):
 def fixed_point(incidence: DataFrame, features: DataFrame, alpha: float = 0.5, near: float = 1e-6, rounds: int = 1000) -> DataFrame:
     """node, dim, val: the solution of x = (1 - alpha) start + alpha M x, where M is one layer of ``propagate``.
 
-    M averages, so for alpha below 1 each round shrinks the error by alpha at least; the
-    loop ends when no value moves by more than ``near`` times the largest start.
+    The loop ends when one more application moves no value by more than ``near`` times the largest start, and returns what that application gives. M is half
+    the identity and half an average over edges, whose spectrum lies between 0 and 1, so that of I - alpha M lies between 1 - alpha and 1 - alpha / 2:
+    Chebyshev steps for these bounds shrink the error tenfold a round at alpha 0.5, where applying M alone halves it.
     """
-    features = cut(features)
+    features, incidence = cut(features), cut(incidence)  # every round reads them again
     largest = features.agg(F.max(F.abs("val"))).first()[0] or 0.0
-    x = features
+    chebyshev = 0 < alpha < 1
+    middle, half = (1 - 0.75 * alpha, 0.25 * alpha) if chebyshev else (1.0, 0.0)
+    rho = half / middle
+    keep, take = 0.0, 1 / middle  # the share of the last step that goes on, and that of what an application moves
+    x, step = features, F.lit(0.0)
     for _ in range(rounds):
-        new = cut(propagate(incidence, x, 1, alpha=1.0).join(features.withColumnRenamed("val", "was"), ["node", "dim"]).select("node", "dim", ((1 - alpha) * F.col("was") + alpha * F.col("val")).alias("val")))
-        moved = new.join(x.withColumnRenamed("val", "was"), ["node", "dim"]).agg(F.max(F.abs(F.col("val") - F.col("was")))).first()[0] or 0.0
-        x = new
+        layer = propagate(incidence, x.select("node", "dim", "val"), 1, alpha=1.0)
+        start = features.withColumnRenamed("val", "was")
+        rows = layer.join(start, ["node", "dim"]).select("node", "dim", ((1 - alpha) * F.col("was") + alpha * F.col("val")).alias("new"))
+        rows = rows.join(x.select("node", "dim", "val", step.alias("step")), ["node", "dim"]).withColumn("step", keep * F.col("step") + take * (F.col("new") - F.col("val")))
+        rows = cut(rows)
+        moved = rows.agg(F.max(F.abs(F.col("new") - F.col("val")))).first()[0] or 0.0
         if moved <= near * largest:
-            return x
+            return rows.select("node", "dim", F.col("new").alias("val"))
+        x, step = rows.select("node", "dim", (F.col("val") + F.col("step")).alias("val"), "step"), F.col("step")
+        if chebyshev:
+            last, rho = rho, 1 / (2 * middle / half - rho)
+            keep, take = rho * last, 2 * rho / half
     raise NotConverged(f"values still move by {moved} after {rounds} rounds")
 
 
