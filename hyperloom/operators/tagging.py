@@ -3,8 +3,9 @@
 Counts come from annotated sentences by grouping in Spark: words by tag, steps from tag to tag, and endings of
 rare words by tag, which stand for words never seen (the chance of a tag given the ending is smoothed from the shorter
 ending to the longer). What the driver fetches is bounded: ``MOST_TAGS`` tags (more raise an error), the ``MOST_WORDS`` most
-frequent words and ``MOST_ENDINGS`` endings; a word beyond them is tagged by its ending. Viterbi runs over all sentences of a
-batch at once, a word a step, sentences sorted by length. Of equal paths the tag first by name is taken.
+frequent words and ``MOST_ENDINGS`` endings; a word beyond them is tagged by its ending. The sentences are read once for all counts.
+Words whose tag no neighbour can change are tagged at once; Viterbi runs over all stretches of other words of a batch side by side,
+a word a step. Python sees each different word of a batch once. Of equal paths the tag first by name is taken.
 
 Sentences: words array, tags array of the same size. Null or empty arrays have no tags.
 """
@@ -12,11 +13,13 @@ Sentences: words array, tags array of the same size. Null or empty arrays have n
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+import re
+from collections.abc import Collection, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,11 +31,21 @@ WORDS_AT_ONCE = 200_000
 REMEMBER = 300_000
 
 
-def sentences(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """key, sent, words: sentences end at a stop, a question or exclamation mark or a line break; signs are words."""
-    rows = chunks.select(F.col(key), F.posexplode(F.split(text, r"(?<=[.!?。！？\n])")).alias("sent", "said"))
-    words = F.regexp_extract_all("said", F.lit(r"([\p{L}\p{N}_]+|[^\p{L}\p{N}_\s])"))
-    return rows.select(key, "sent", words.alias("words")).where(F.size("words") > 0)
+def sentences(chunks: DataFrame, key: str = "chunk_id", text: str = "text", holding: Collection[str] = ()) -> DataFrame:
+    """key, sent, words: sentences end at a stop, a question or exclamation mark or a line break; signs are words.
+
+    With ``holding``, only the sentences that hold one of these words (or signs).
+    """
+    rows = chunks.select(F.col(key), F.posexplode(F.split(text, r"(?<=[.!?。！？\n])")).alias("sent", "said")).where(F.col("said").rlike(r"\S"))
+    if holding:
+        rows = rows.where(F.col("said").rlike(_holds(holding)))
+    return rows.select(key, "sent", F.regexp_extract_all("said", F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"), F.lit(0)).alias("words"))
+
+
+def _holds(words: Collection[str]) -> str:
+    """An expression for texts that hold one of the words, as ``sentences`` cuts them; found by the first letter, then by what lies around."""
+    letters = "".join(sorted({re.escape(w[0]) for w in words}))
+    return rf"(?=[{letters}])(?:{'|'.join(rf'(?<![\p{{L}}\p{{N}}_]){re.escape(w)}(?![\p{{L}}\p{{N}}_])' if w[0].isalnum() or w[0] == '_' else re.escape(w) for w in sorted(words))})"
 
 
 class Tagger:
@@ -41,11 +54,12 @@ class Tagger:
         self.tags = sorted({t for _, t, _ in words} | {t for _, t, _ in steps})
         at = {t: i for i, t in enumerate(self.tags)}
         n = len(self.tags)
-        of_tag = np.full(n, 1e-9)
+        of_tag = np.zeros(n)
         table: dict[str, np.ndarray] = {}
         for w, t, c in words:
             table.setdefault(w, np.zeros(n))[at[t]] += c
             of_tag[at[t]] += c
+        of_tag += 1e-9  # after the whole numbers, so that their order does not matter
         self.share = np.log(of_tag / of_tag.sum()) if n else np.zeros(0)
         with np.errstate(divide="ignore"):
             self.known = {w: np.maximum(np.log(v / of_tag), -60.0) for w, v in table.items()}
@@ -65,34 +79,48 @@ class Tagger:
     @classmethod
     def learned(cls, annotated: DataFrame) -> Tagger:
         """From sentences with words and tags."""
-        pairs = annotated.select(F.explode(F.arrays_zip("words", "tags")).alias("p")).select("p.words", "p.tags").where("words is not null and tags is not null")
-        words = pairs.groupBy(F.col("words").alias("word"), F.col("tags").alias("tag")).agg(F.count("*").alias("n"))
-        kinds = words.select("tag").distinct().limit(MOST_TAGS + 1).count()
-        if kinds > MOST_TAGS:
-            raise ValueError(f"more than {MOST_TAGS} tags")
-        total = words.groupBy("word").agg(F.sum("n").alias("total"))
-        top = total.orderBy(F.desc("total"), "word").limit(MOST_WORDS)
-        rare = words.join(total.where(F.col("total") <= RARE), "word")
-        ends = F.explode(F.transform(F.sequence(F.lit(0), F.least(F.lit(ENDING), F.length("word"))), lambda k: F.when(k == 0, "").otherwise(F.right(F.lower("word"), k))))
-        endings = rare.select(ends.alias("ending"), "tag", "n").groupBy("ending", "tag").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "ending", "tag").limit(MOST_ENDINGS)
-        tags = F.concat(F.array(F.lit(None).cast("string")), "tags")
-        steps = annotated.where(F.size("tags") > 0).select(F.explode(F.arrays_zip(tags.alias("a"), F.col("tags").alias("b"))).alias("p")).where("p.b is not null").groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
+        # one pass over the sentences: each word with its tag and the tag before it
+        before = F.concat(F.array(F.lit(None).cast("string")), "tags")
+        zipped = F.arrays_zip(F.coalesce("words", F.array().cast("array<string>")).alias("word"), F.col("tags").alias("tag"), before.alias("before"))
+        triples = annotated.select(F.explode(zipped).alias("p")).where("p.tag is not null").groupBy("p.word", "p.tag", "p.before").agg(F.count("*").alias("n"))
+        uses = triples.groupBy("word").agg(F.collect_list(F.struct("tag", "before", "n")).alias("uses"), F.sum("n").alias("total")).persist()
+        each = lambda df: df.select("word", F.inline("uses"))
         fetch = lambda df: [tuple(r) for r in df.collect()]  # noqa: E731 - bounded as said above
-        return cls(fetch(words.join(top, "word").select("word", "tag", "n")), fetch(steps), fetch(endings))
+        try:
+            steps = fetch(each(uses).groupBy("before", "tag").agg(F.sum("n").alias("n")).limit(MOST_TAGS * (MOST_TAGS + 1) + 1))
+            if len({t for _, t, _ in steps}) > MOST_TAGS or len(steps) > MOST_TAGS * (MOST_TAGS + 1):
+                raise ValueError(f"more than {MOST_TAGS} tags")
+            known = uses.where("word is not null")
+            words = each(known.orderBy(F.desc("total"), "word").limit(MOST_WORDS)).groupBy("word", "tag").agg(F.sum("n").alias("n"))
+            sizes = F.explode(F.sequence(F.lit(0), F.least(F.lit(ENDING), F.length("word"))))
+            rare = each(known.where(F.col("total") <= RARE)).select("word", "tag", "n", sizes.alias("k")).select(F.when(F.col("k") == 0, "").otherwise(F.right(F.lower("word"), F.col("k"))).alias("ending"), "tag", "n")
+            endings = rare.groupBy("ending", "tag").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "ending", "tag").limit(MOST_ENDINGS)
+            return cls(fetch(words), steps, fetch(endings))
+        finally:
+            uses.unpersist()
 
     def _reset(self) -> None:
         self.index: dict[str, int] = {}
+        self.of_ending: dict[str, int] = {}
         self.rows: list[np.ndarray] = []
 
     def emission(self, word: str) -> np.ndarray:
         """Log chance of a word given each tag; of unknown words up to a constant."""
         if (row := self.known.get(word)) is not None:
             return row
-        chance, low = np.exp(self.share), word.lower()
-        for k in range(min(ENDING, len(low)) + 1):
-            seen = self.endings.get(low[len(low) - k :])
-            if seen is None and k:
-                break
+        return self._unknown(self._ending(word))
+
+    def _ending(self, word: str) -> str:
+        """The longest ending that was seen, as were all shorter ones."""
+        low, k = word.lower(), 0
+        while k < min(ENDING, len(low)) and low[len(low) - k - 1 :] in self.endings:
+            k += 1
+        return low[len(low) - k :]
+
+    def _unknown(self, ending: str) -> np.ndarray:
+        chance = np.exp(self.share)
+        for k in range(len(ending) + 1):
+            seen = self.endings.get(ending[len(ending) - k :])
             if seen is not None:
                 weight = seen.sum() / (seen.sum() + 2.0)
                 chance = weight * seen / seen.sum() + (1 - weight) * chance
@@ -103,63 +131,98 @@ class Tagger:
         for w in words:
             i = self.index.get(w)
             if i is None:
-                i = self.index[w] = len(self.rows)
-                self.rows.append(self.emission(w))
+                # unknown words of one ending share a row
+                end = None if w in self.known else self._ending(w)
+                i = None if end is None else self.of_ending.get(end)
+                if i is None:
+                    i = len(self.rows)
+                    self.rows.append(self.known[w] if end is None else self._unknown(end))
+                    if end is not None:
+                        self.of_ending[end] = i
+                self.index[w] = i
             out.append(i)
         return out
 
     def tag(self, said: Sequence[Sequence[str]]) -> list[list[str]]:
         """The best tags of each sentence."""
+        return self.tag_lists(pa.array([list(s) for s in said], pa.list_(pa.string()))).to_pylist()
+
+    def tag_lists(self, said: pa.ListArray) -> pa.ListArray:
+        """The best tags of each sentence; none for null."""
+        sizes = said.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+        ends = np.cumsum(sizes)
+        words = said.flatten().dictionary_encode("encode")
+        out, lo = np.zeros(len(words), dtype=np.int32), 0
         if len(self.index) > REMEMBER:
             self._reset()
-        sizes = np.array([len(s) for s in said], dtype=np.int64)
-        order = np.argsort(-sizes, kind="stable")
-        flat = np.array(self.numbers([w for s in said for w in s]), dtype=np.int64)
-        if not len(flat):
-            return [[] for _ in said]
-        used, flat = np.unique(flat, return_inverse=True)
-        table = np.array([self.rows[i] for i in used.tolist()])
-        starts = (np.cumsum(sizes) - sizes)[order]
-        live = np.searchsorted(-sizes[order], -np.arange(int(sizes.max())), side="left")
-        score = self.first + table[flat[starts[: live[0]]]]
-        back = []
+        if len(words):
+            used, at = np.unique(self.numbers(words.dictionary.to_pylist()), return_inverse=True)
+            table, flat = np.array([self.rows[i] for i in used.tolist()]), at[words.indices.to_numpy()]
+        while lo < len(sizes) and len(words):
+            start = ends[lo] - sizes[lo]
+            hi = max(lo + 1, int(np.searchsorted(ends, start + WORDS_AT_ONCE, side="right")))
+            out[start : ends[hi - 1]] = self._best(table, flat[start : ends[hi - 1]], sizes[lo:hi])
+            lo = hi
+        names = pa.array(self.tags, pa.string()).take(pa.array(out))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), names)
+
+    def _sure(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The likeliest tag of each row of emissions, and whether every best path takes it, whatever stands before and behind.
+
+        That is so where it leads any other tag by more than the steps to it and from it can cost against the steps to and from the other.
+        """
+        gain = (self.step[:, None, :] - self.step[:, :, None]).max(0)  # [k, a]: the most that a step to a is likelier than one to k
+        gain = np.maximum(gain, self.first[None, :] - self.first[:, None]) + (self.step[None] - self.step[:, None]).max(2)
+        top = table.argmax(1)
+        lead = table[np.arange(len(table)), top][:, None] - table - gain[top]
+        lead[np.arange(len(table)), top] = np.inf
+        return top, (lead > 1e-3).all(1)
+
+    def _best(self, table: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The tags' numbers on the best paths of sentences that lie one behind the other; flat: a row of the table for each word.
+
+        Words whose tag is sure cut the sentences; the rest are short stretches between them, whose paths are sought side by side.
+        """
+        top, sure = self._sure(table)
+        out = top[flat]
+        open_ = np.flatnonzero(~sure[flat])
+        if not len(open_):
+            return out
+        begins, closes = np.zeros(len(flat), dtype=bool), np.zeros(len(flat), dtype=bool)
+        ends = np.cumsum(sizes)[sizes > 0]
+        begins[ends - sizes[sizes > 0]], closes[ends - 1] = True, True
+        new = np.flatnonzero(np.concatenate([[True], np.diff(open_) != 1]) | begins[open_])
+        starts, lengths = open_[new], np.diff(np.concatenate([new, [len(open_)]]))
+        order = np.argsort(-lengths, kind="stable")
+        starts, lengths = starts[order], lengths[order]
+        last = starts + lengths - 1
+        live = np.searchsorted(-lengths, -np.arange(int(lengths[0])), side="left").tolist()
+        by_tag, step, back = np.ascontiguousarray(table.T), self.step[:, :, None], self.step.T
+        entry = np.where(begins[starts], self.first[:, None], back[:, out[starts - 1]])
+        scores = [entry + by_tag[:, flat[starts]]]
         for t in range(1, len(live)):
             m = live[t]
-            ways = score[:m, :, None] + self.step
-            came = ways.argmax(1)
-            back.append(came.astype(np.int8))
-            score = score.copy()
-            score[:m] = np.take_along_axis(ways, came[:, None, :], 1)[:, 0] + table[flat[starts[:m] + t]]
-        best = score.argmax(1)
-        out = np.empty(len(flat), dtype=np.int64)
+            scores.append((scores[-1][:, None, :m] + step).max(0) + by_tag[:, flat[starts[:m] + t]])
+        # a tag before is sought on the best path alone, from the sure tag behind the stretch or the end of the sentence
+        follows = np.where(closes[last][:, None], 0.0, back[out[np.minimum(last + 1, len(out) - 1)]])
+        best = np.zeros(len(starts), dtype=np.int64)
         for t in range(len(live) - 1, -1, -1):
-            m = live[t]
+            m, more = live[t], live[t + 1] if t + 1 < len(live) else 0
+            best[:more] = (scores[t][:, :more].T + back[best[:more]]).argmax(1)
+            best[more:m] = (scores[t][:, more:].T + follows[more:m]).argmax(1)
             out[starts[:m] + t] = best[:m]
-            if t:
-                best[:m] = back[t - 1][np.arange(m), best[:m]]
-        names = np.array(self.tags, dtype=object)[out].tolist()
-        ends = np.cumsum(sizes).tolist()
-        return [names[e - n : e] for e, n in zip(ends, sizes.tolist(), strict=True)]
+        return out
 
 
 def tagged(said: DataFrame, tagger: Tagger) -> DataFrame:
-    """The rows with tags, an array as long as words."""
+    """The rows with tags, an array as long as words. Only the words go to Python."""
     held = said.sparkSession.sparkContext.broadcast(tagger)  # bounded as Tagger.learned says
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            words = [list(w) if w is not None else [] for w in frame["words"]]
-            tags: list[list[str]] = []
-            lo = size = 0
-            for i, w in enumerate(words):
-                size += len(w)
-                if size > WORDS_AT_ONCE:
-                    tags += held.value.tag(words[lo : i + 1])
-                    lo, size = i + 1, 0
-            yield frame.assign(tags=tags + held.value.tag(words[lo:]))
-
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in said.schema)
-    return said.mapInPandas(run, columns + ", tags array<string>")
+    @F.arrow_udf("array<string>")
+    def tags(words: pa.Array) -> pa.Array:
+        return held.value.tag_lists(words)
+
+    return said.withColumn("tags", tags("words"))
 
 
 @dataclass(frozen=True)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hyperloom.operators import build, segmenting, tagging
+from hyperloom.operators import segmenting, tagging
 
 from . import standin as S
 from .catalogue import plan
@@ -43,8 +45,8 @@ def annotated(said: DataFrame) -> DataFrame:
     return said.withColumn("tags", F.transform("words", tag))
 
 
-def said(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tagging.sentences(S.chunks(spark, sf_dir))
+def said(spark: SparkSession, sf_dir: str, holding: Collection[str] = ()) -> DataFrame:
+    return tagging.sentences(S.chunks(spark, sf_dir), holding=holding)
 
 
 def tagger(spark: SparkSession, sf_dir: str) -> tagging.Tagger:
@@ -52,8 +54,8 @@ def tagger(spark: SparkSession, sf_dir: str) -> tagging.Tagger:
     return tagging.Tagger.learned(annotated(said(spark, sf_dir).where(F.crc32(F.col("chunk_id").cast("binary")) % 2 == 0)))
 
 
-def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tagging.tagged(said(spark, sf_dir), tagger(spark, sf_dir))
+def tagged(spark: SparkSession, sf_dir: str, holding: Collection[str] = ()) -> DataFrame:
+    return tagging.tagged(said(spark, sf_dir, holding), tagger(spark, sf_dir))
 
 
 @plan("tagged_words")
@@ -66,19 +68,20 @@ def tagged_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan("comparison_vehicles")
 def comparison_vehicles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tagging.compared(tagged(spark, sf_dir), CUES)
+    """A sentence without a marker has no vehicle, so it is not tagged."""
+    return tagging.compared(tagged(spark, sf_dir, CUES.markers), CUES)
 
 
 @plan("tagged_patterns")
 def tagged_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Marker and vehicle of each sentence that compares, by tags."""
-    return tagging.patterns(tagged(spark, sf_dir), CUES)
+    """Marker and vehicle of each sentence that compares, by tags; one without a marker does not."""
+    return tagging.patterns(tagged(spark, sf_dir, CUES.markers.union(CUES.before)), CUES)
 
 
 def heuristic(spark: SparkSession, sf_dir: str, generic: bool = False) -> DataFrame:
     """Discoveries without an outside service: vehicles bound to frames."""
     fields = S.rows_of(spark, S.FIELDS, "field, word")
-    words = build.words_of(S.chunks(spark, sf_dir)).join(fields, "word").select("chunk_id", "pos", "field")
+    words = S.chunks(spark, sf_dir).select("chunk_id", F.posexplode(F.split("text", " ")).alias("pos", "word")).join(fields, "word").select("chunk_id", "pos", "field")
     return tagging.candidates(comparison_vehicles(spark, sf_dir), S.frames(spark), fields, S.rows_of(spark, S.BRIDGES, "field, frame_id"), tagging.literal_fields(words), [], CUES, generic)
 
 
