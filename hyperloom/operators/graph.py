@@ -136,3 +136,13 @@ def edge_states(states: DataFrame, edges: DataFrame) -> DataFrame:
     touch = edges.select("edge_id", F.explode(entities).alias("node"))
     size = touch.groupBy("edge_id").agg(F.count("*").alias("n"))
     return touch.join(states, "node").groupBy("edge_id", "dim").agg(F.sum("val").alias("s")).join(size, "edge_id").select("edge_id", "dim", (F.col("s") / F.col("n")).alias("val"))
+
+
+def comembers(incidence: DataFrame, parts: int) -> DataFrame:
+    """node, n_others: how many other nodes share an edge with each node that has any (incidence: edge, node; rows may repeat).
+
+    Edges, then pairs of nodes, are dealt to ``parts`` tasks; let them grow with the rows, and no task's memory does.
+    """
+    inc = incidence.repartition(parts, "edge").distinct()
+    met = inc.join(inc.withColumnRenamed("node", "other"), "edge").where("node <> other").select("node", "other")
+    return met.repartition(parts, "node", "other").distinct().groupBy("node").agg(F.count("*").alias("n_others"))

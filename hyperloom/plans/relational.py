@@ -126,8 +126,8 @@ TWINS: dict[str, str] = {
       SELECT quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM (SELECT i, round(avg(y), 9) AS m FROM draw JOIN d ON d.k = draw.k GROUP BY i) x""",
 }
 
-#: Registered in ``testing`` with operators of their own for Spark; the SQL is the one here.
-APART = ("bootstrap_ci", "permutation_p", "stratified_z")
+#: Registered in ``testing`` and ``folded`` with operators of their own for Spark; the SQL is the one here.
+APART = ("bootstrap_ci", "permutation_p", "stratified_z", "comembers")
 
 
 def sql_of(name: str) -> str:
