@@ -2,11 +2,14 @@
 
 import math
 import re
+from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from hyperloom.operators import build, inference, search
+from hyperloom.plans import catalogue
 from hyperloom.sources import files
 
 
@@ -48,3 +51,14 @@ def test_triggers_hold_any_signs(spark):
     got = {r.i: [(s.start, s.end) for s in r.s] for r in df.select("i", build.occurrences(F.col("t"), F.col("p")).alias("s")).collect()}
     want = {i: [(m.start(), m.end()) for m in re.finditer(re.escape(p), t)] if p else [] for i, t, p in rows}
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["graph_json"])
+def test_edges_of_triggers_that_overlap_themselves(spark, tmp_path, name):
+    texts = ["a thathat b", "thathathat is the nation", "that", "nothing was said", None]
+    rows = [(i, t, "en", f"s{i % 2}", len(t or "")) for i, t in enumerate(texts, 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = Counter(con.execute(catalogue.oracle_sql()[name]).fetchall())
+    assert want and Counter(tuple(r) for r in catalogue.queries()[name](spark, str(tmp_path)).collect()) == want
