@@ -53,7 +53,7 @@ def test_triggers_hold_any_signs(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["graph_json", "live_edges"])
+@pytest.mark.parametrize("name", ["graph_json", "live_edges", "representative_edges"])
 def test_edges_of_triggers_that_overlap_themselves(spark, tmp_path, name):
     texts = ["a thathat b", "thathathat is the nation", "that", "nothing was said", None]
     rows = [(i, t, "en", f"s{i % 2}", len(t or "")) for i, t in enumerate(texts, 1)]
