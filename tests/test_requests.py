@@ -90,3 +90,24 @@ def test_cache_files(spark, tmp_path):
     (tmp_path / "v.json").write_text(json.dumps([[["he won", "war", "love"], {"is_metaphor": True, "confidence": 0.8, "ground": ["x"]}], [["t", "a", "b"], None]]))
     got = {r.text: (r.source_domain, r.figurative, r.confidence, r.ground) for r in requests.verdict_file(spark, str(tmp_path / "v.json")).collect()}
     assert got == {"he won": ("war", True, 0.8, ["x"]), "t": ("a", False, None, None)}
+
+
+def test_keys_are_worked_out_once_to_be_asked(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def told(frames):
+        for f in frames:
+            read.add(len(f))
+            yield f
+
+    keys = spark.range(300, numPartitions=4).selectExpr("concat('k', id % 100) AS k").mapInPandas(told, "k string")
+    log = Log(spark, str(tmp_path / "log"), "m1", batch=5, batches_per_task=2, round_size=30)
+    seen = tmp_path / "asked"
+    assert log.answered(keys, asking(seen), "int").count() == 100
+    assert asked(seen) == {f"k{i}": 1 for i in range(100)}
+    assert read.value <= 600  # once to ask, once to answer
+
+
+def test_rounds_are_whole_slots():
+    assert requests.rounds_of({}, 5) == []
+    assert requests.rounds_of({9: 2, 1: 3, 4: 2, 7: 8, 8: 1}, 5) == [(1, 4, 5), (7, 7, 8), (8, 9, 3)]
