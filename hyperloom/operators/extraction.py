@@ -27,13 +27,17 @@ def known_candidates(chunks: DataFrame, frames: DataFrame, fields: DataFrame, ma
 
 
 def open_candidates(chunks: DataFrame, discovered: DataFrame, frames: DataFrame, rules: list[tuple[str, list[str]]], least: float = 0.5) -> tuple[DataFrame, DataFrame]:
-    """Located discoveries bound to frames, and the frames of their own that those get which no frame of the ontology takes."""
+    """Located discoveries bound to frames, and the frames of their own that those get which no frame of the ontology takes.
+
+    Ids of such frames are short, so two pairs of domains can share one. The id then stands for both, and a discovery says which is its own (own_source, own_target).
+    """
     found = build.bind_frames(build.open_channel(chunks, discovered, least), frames, rules)
     grounds = found if "ground" in found.columns else found.withColumn("ground", F.array().cast("array<string>"))
     none = F.array().cast("array<string>")
-    own = grounds.where("not known").groupBy("frame_id").agg(F.min("source_domain").alias("source_domain"), F.min("target_domain").alias("target_domain"), F.coalesce(F.min("ground"), none).alias("ground"))
+    own = grounds.where("not known").groupBy("frame_id", "source_domain", "target_domain").agg(F.coalesce(F.min("ground"), none).alias("ground"))
     own = own.select("frame_id", F.lit(2**30).alias("ord"), "source_domain", "target_domain", F.lit("structural").alias("mapping_type"), F.lit(build.GENERIC).alias("source_type"), "ground")
-    return build.spanned(found).select("chunk_id", "frame_id", "triggers", "spans", F.col("confidence").alias("conf"), F.lit(3).alias("channel"), "low", "high"), own
+    mine = [F.when(~F.col("known"), F.col(f"{c}_domain")).alias(f"own_{c}") for c in ("source", "target")]
+    return build.spanned(found).select("chunk_id", "frame_id", "triggers", "spans", F.col("confidence").alias("conf"), F.lit(3).alias("channel"), "low", "high", *mine), own
 
 
 def extracted(
@@ -49,7 +53,7 @@ def extracted(
     all_frames = frames.select(names)
     if discovered is not None:
         three, own = open_candidates(chunks, discovered, frames, list(rules), open_least)
-        found, all_frames = found.unionByName(three), all_frames.unionByName(own)
+        found, all_frames = found.unionByName(three, allowMissingColumns=True), all_frames.unionByName(own)
     allowed = constraints.select("source_type", "mapping_type").union(constraints.sparkSession.sql(f"SELECT '{build.GENERIC}', 'structural'"))
     return build.emitted(found, all_frames, chunks, allowed, stops, least, cascades)
 

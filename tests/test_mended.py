@@ -62,3 +62,18 @@ def test_edges_of_triggers_that_overlap_themselves(spark, tmp_path, name):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     want = Counter(con.execute(catalogue.oracle_sql()[name]).fetchall())
     assert want and Counter(tuple(r) for r in catalogue.queries()[name](spark, str(tmp_path)).collect()) == want
+
+
+def test_frames_that_share_a_short_id_keep_their_own_domains(spark, tmp_path):
+    pairs = [("b567", "k68"), ("k81", "b339"), ("b353", "k3"), ("b818", "a47818"), ("b1", "k1")]  # the first two have one id, and so have the next two
+    rows = [(10 * i + 5 + j, f"{s} {t} x{j} {s}", "en", "s", 9) for i, (s, t) in enumerate(pairs) for j in (0, 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalogue.queries()["three_channel_edges"](spark, str(tmp_path)).collect()
+    own = {f"c{r[0]}": tuple(r[1].split(" ")[:2]) for r in rows}
+    assert {r.chunk_id: (r.source_domain, r.target_domain) for r in got} == own and len(got) == len(rows)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    sql = con.execute(catalogue.oracle_sql()["three_channel_edges"])
+    names = [d[0] for d in sql.description]
+    told = Counter(tuple(v for n, v in zip(names, r) if n not in ("edge_id", "source_domain", "target_domain")) for r in sql.fetchall())
+    assert told == Counter(tuple(v for n, v in r.asDict().items() if n not in ("edge_id", "source_domain", "target_domain")) for r in got)  # of pairs that share an id the SQL may name either
