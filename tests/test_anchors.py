@@ -5,8 +5,10 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from hyperloom.operators import anchors
+from hyperloom.plans import stored
 
 
 def cos(a, b):
@@ -95,3 +97,26 @@ def test_local_scores(spark):
     got = {(r.query, r.candidate): r.anchor for r in anchors.local_scores(pool, curves, domain).collect()}
     assert got == {(7, 1): 1.0, (7, 2): 0.9, (7, 3): 0.0, (8, 3): 0.2}
     assert {r.anchor for r in anchors.local_scores(pool.drop("anchor"), curves, domain).collect()} == {1.0, 0.5, 0.0}
+
+
+def test_contacts_of_places_are_those_of_curves(spark):
+    draw = random.Random(5)
+    vector = lambda i: None if i == 3 else [draw.gauss(0, 1) for _ in range(2 if i == 4 else 3)] if i != 5 else [0.0, None, 1.0]
+    vectors = spark.createDataFrame([(i, vector(i)) for i in range(12)], "id long, vector array<double>").localCheckpoint()
+    own = {c: draw.randrange(14) for c in range(30)}  # of two ids there is no vector
+    places = spark.createDataFrame([(c, t, draw.randrange(4), own[c]) for c in own for t in draw.sample(range(14), 4)], "candidate long, tag long, position int, own long")
+    pool = spark.createDataFrame([(q, c) for q in range(6) for c in draw.sample(range(30), 12)], "query long, candidate long")
+    seeds = spark.createDataFrame([(q, s, draw.choice([None, 1.0, 2.5])) for q in range(6) for s in draw.sample(range(14), 3)] + [(1, None, 2.0)], "query long, seed long, mass double")
+    flows = spark.createDataFrame([(t, float(t)) for t in range(1, 10)], "tag long, flow double")
+    chunks = places.select("candidate", F.col("candidate").alias("file"), "own").distinct().join(vectors.withColumnRenamed("id", "own"), "own").drop("own")
+    curves = anchors.curves(chunks.select("candidate"), chunks, places.select(F.col("candidate").alias("file"), "tag", "position"), vectors.withColumnRenamed("id", "tag"))
+    want = anchors.anchored(pool, curves, seeds, vectors, flows, threshold=0.3)
+    met = anchors.contacts_of_places(pool, places, seeds, vectors, flows, 0.3, 3)
+    got = anchors.scored(pool, met, seeds, flows)
+    shown = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+    assert shown(got) == shown(want) and len({r[2] for r in shown(got)}) > 10
+
+
+def test_stored_anchors_deals_its_rows_few_times(spark, tiny):
+    plan = stored.stored_anchors(spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.count("Exchange hashpartitioning") <= 40  # once 49, of which several held a vector in each row
